@@ -525,7 +525,7 @@ def _(spark, d):
 # 2.O search
 
 
-@query("keyword_search", "SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM (SELECT h.*, count(*) OVER (PARTITION BY term) AS df, n, avg_len FROM (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len, unnest(ts) AS term FROM own) WHERE term IN ('thedin', 'and', 'shthble') GROUP BY ALL) h, (SELECT count(*) AS n, avg(len) AS avg_len FROM own)) GROUP BY 1", prelude=False, extra="own AS (SELECT doc_id AS id, ts, len(ts) AS len FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM documents))")
+@query("keyword_search", "SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM (SELECT h.*, count(*) OVER (PARTITION BY term) AS df, n, avg_len FROM (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len, unnest(ts) AS term FROM own) WHERE term IN ('thedin', 'shthble') GROUP BY ALL) h, (SELECT count(*) AS n, avg(len) AS avg_len FROM own)) GROUP BY 1", prelude=False, extra="own AS (SELECT doc_id AS id, ts, len(ts) AS len FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM documents))")
 def _(spark, d):
     found = search.bm25(star.table(spark, d, "documents"), "doc_id", "text", "thedin OR (and) shthble")
     return found.select("id", F.round("score", 6).alias("score"))
