@@ -51,10 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends here and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it again: lineage ends here and survives lost executors.
+
+    The shuffles behind it are of no more use. Spark deletes their files once the driver's JVM has collected what refers
+    to them, which may be much later than the next shuffle needs the disk; so it is asked to collect now.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return staged
 
 
 class WordHashes(dict):
@@ -125,9 +132,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] | None = None) -> DataFrame:
     """(ord, th, text): the order of a row's document, 31 bits of its text's hash and its UTF-8 bytes (null: empty).
 
+    With carry, also the struct carried: those columns as c0, c1, ..., and the field `n`, their number.
+
     Rows of one id with different texts differ in th; repeated rows are alike in all three and get like results.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -135,8 +144,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"),
         F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).alias("th"),
         text.cast("binary").alias("text"),
+        *([] if carry is None else [F.struct(F.lit(len(carry)).alias("n"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")]),
     )
 
 
+def without(docs: DataFrame, id_col: str, rejected: DataFrame) -> DataFrame:
+    """docs less the rows whose id is among rejected.ord; rows with a null id stay. The ids are staged first, so that
+    Spark knows their size and broadcasts them only below its threshold."""
+    gone = stage(rejected.select(F.col("ord").alias("_rejected_ord")).distinct())
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_rejected_ord"), "left_anti")
+
+
 def doc_id_of(ord_col: str = "ord") -> F.Column:
     return F.when(F.col(ord_col) != F.lit(LAST), F.col(ord_col))

@@ -2,8 +2,10 @@
 
 Windows of ANCHOR words are hashed only where their place in the document, modulo PERIOD, lies in a difference cover.
 For any two places some shift below PERIOD takes both onto cover places, so two equal runs of WINDOW >= ANCHOR +
-PERIOD - 1 words always share an aligned anchor. Anchors that occur in several documents are then extended: only the
-windows around them are hashed whole and compared, and each is removed if a document with a smaller id has it.
+PERIOD - 1 words always share an aligned anchor. Anchors that occur in several documents are then extended, first by as
+many words on both sides as windows around them can reach: if a document with a smaller id has the same, all those
+windows are repeated. Only around the other anchors, near the ends of what documents share, windows are hashed whole
+and compared, and each is removed if a document with a smaller id has it.
 
 Hot keys: counts and least ids of anchors and windows are aggregated before their shuffle, and the joins that find the
 members again are plain equi-joins that Spark splits when a key is skewed. No group is ever collected.
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sequence, arrow_pass, doc_id_of, keyed, signed, stage, table, word_values
+from .common import Sequence, arrow_pass, doc_id_of, keyed, mix, signed, stage, table, word_values
 
 WINDOW = 50
 PERIOD = 31
@@ -47,23 +49,31 @@ def _rows(batch: pa.RecordBatch, make: Callable) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, zip(*parts)))
 
 
+def _contexts(words: Sequence, at: np.ndarray, window: int) -> np.ndarray:
+    """Identifier of the words that windows around each anchor can reach, and of how far the text's ends cut them."""
+    low, high = np.maximum(at - PERIOD + 1, 0), np.minimum(at + window, words.n)
+    return mix(words.hashes(low, high) ^ mix(((at - low) << 32 | (high - at)).astype(np.uint64)))
+
+
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
     anchor = window - PERIOD + 1
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text")
+        texts, contexts = batch.column("text"), []
 
         def make(i: int):
             words = texts[i].as_py().split()
             if len(words) < window:
                 return None
             at = _cover_places(len(words), anchor)
-            return Sequence(word_values(words)).hashes(at, at + anchor), at
+            sequence = Sequence(word_values(words))
+            contexts.append(signed(_contexts(sequence, at, window)))
+            return sequence.hashes(at, at + anchor), at
 
         key, ords, loc = _rows(batch, make)
-        return {"k": key, "ord": ords, "loc": loc}
+        return {"k": key, "c": np.concatenate(contexts) if contexts else [], "ord": ords, "loc": loc}
 
-    return arrow_pass(docs, run, "k long, ord long, loc long")
+    return arrow_pass(docs, run, "k long, c long, ord long, loc long")
 
 
 def _near(places: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -75,9 +85,9 @@ def _near(places: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(delta[: last + 1]) > 0)
 
 
-def _of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+def _of(batch: pa.RecordBatch, i: int, column: str = "locs") -> np.ndarray:
     """Places listed for row i: those whose loc carries the row's own th."""
-    locs = batch.column("locs")[i].values
+    locs = batch.column(column)[i].values
     if locs is None:
         return np.empty(0, np.int64)
     locs = locs.to_numpy(zero_copy_only=False)
@@ -90,7 +100,8 @@ def _windows(listed: DataFrame, window: int) -> DataFrame:
 
         def make(i: int):
             words = texts[i].as_py().split()
-            at = _near(_of(batch, i), len(words), window)
+            # What an earlier document is known to have needs no window: the least document that has it shows its own.
+            at = np.setdiff1d(_near(_of(batch, i), len(words), window), _near(_of(batch, i, "whole"), len(words), window), assume_unique=True)
             return Sequence(word_values(words)).hashes(at, at + window), at
 
         key, ords, loc = _rows(batch, make)
@@ -105,17 +116,27 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def removal_marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(ord, locs): starts of each document's windows that also start in a document with a smaller id."""
+    """(ord, whole, locs): each document's anchors all of whose windows, and single windows, that an earlier one has."""
     anchors = _anchors(docs, window)
     shared = anchors.groupBy("k").agg(F.min("ord").alias("a"), F.max("ord").alias("z")).filter("a < z").select("k")
-    near = _listed(anchors.join(shared, "k").select("ord", "loc"))
-    windows = stage(_windows(docs.join(near, "ord"), window))
+    members = stage(anchors.join(shared, "k"))
+    groups = members.groupBy("k", "c").agg(F.min("ord").alias("least"))
+    mixed = groups.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.lit(True).alias("mixed"))
+    state = members.join(groups.join(mixed, "k", "left"), ["k", "c"])
+    found = state.groupBy("ord").agg(
+        F.collect_list(F.when(F.col("ord") > F.col("least"), F.col("loc"))).alias("whole"),
+        F.collect_list(F.when((F.col("ord") == F.col("least")) & F.col("mixed"), F.col("loc"))).alias("locs"),
+    )
+    found = stage(found.filter("size(whole) + size(locs) > 0"))
+    windows = stage(_windows(docs.join(found.filter("size(locs) > 0"), "ord"), window))
     first = windows.groupBy("w").agg(F.min("ord").alias("a"), F.max("ord").alias("z")).filter("a < z").select("w", "a")
-    return _listed(windows.join(first, "w").filter("ord > a").select("ord", "loc"))
+    single = _listed(windows.join(first, "w").filter("ord > a").select("ord", "loc"))
+    return found.select("ord", "whole").join(single, "ord", "full")
 
 
-def dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept (the kept words joined by single spaces).
+def dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW, carry: tuple[str, ...] = (), preserve: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept (the kept words joined by single spaces), and the
+    columns named in carry. With preserve, a text that loses nothing is kept as it is.
 
     Words are [^\\x20\\x09-\\x0D]+. A null or empty text has no words; shorter documents than the window lose none. Rows
     of one doc_id never remove from each other; a null doc_id comes after all others, so such rows lose what any other
@@ -123,14 +144,19 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDO
     """
     if window < PERIOD:
         raise ValueError(f"window must be {PERIOD} or more")
-    own = keyed(docs, id_col, text_col)
-    joined = own.join(removal_marks(own, window), "ord", "left")
+    own = keyed(docs, id_col, text_col, carry)
+    marks = removal_marks(own.select("ord", "th", "text"), window)
+    joined = own.join(marks, "ord", "left")
+    kind = own.schema["carried"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             words = text.split()
             starts = _of(batch, i)
+            whole = _of(batch, i, "whole")
+            if len(whole):
+                starts = np.union1d(starts, _near(whole, len(words), window))
             if len(starts):
                 delta = np.zeros(len(words) + 1, np.int32)
                 delta[starts] += 1
@@ -141,11 +167,11 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDO
                 left = words
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
-            kept.append(b" ".join(left))
-        return {"ord": batch.column("ord"), "th": batch.column("th"), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+            kept.append(text if preserve and len(left) == len(words) else b" ".join(left))
+        return {"ord": batch.column("ord"), "carried": batch.column("carried"), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())}
 
-    done = arrow_pass(joined.select("ord", "th", "text", "locs"), run, "ord long, th long, n_words long, n_removed long, kept string")
-    return done.select(doc_id_of().alias("doc_id"), "n_words", "n_removed", "kept", "ord", "th")
+    done = arrow_pass(joined.select("ord", "th", "text", "whole", "locs", "carried"), run, f"ord long, n_words long, n_removed long, kept string, carried {kind}")
+    return done.select(doc_id_of().alias("doc_id"), "n_words", "n_removed", "kept", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
