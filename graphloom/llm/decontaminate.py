@@ -159,20 +159,25 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     parts = [_hits(read, block, window) for block in _blocks(items, item_col, item_text)] or [_hits(read, [], window)]
     if len(parts) == 1:
         return parts[0]
-    # Several blocks: merge what each found. Rows that are alike in id and length have like texts or are merged by span.
-    parts = [p.withColumn("block", F.lit(i)) for i, p in enumerate(parts)]
-    merged = parts[0]
+    # Several blocks: a row's findings in each are merged. Rows alike in id and number of words are told apart no further:
+    # each gets what all of them have.
+    rows = parts[0]
     for p in parts[1:]:
-        merged = merged.unionByName(p)
-    both = merged.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.greatest(F.lit(1), (F.count(F.lit(1)) / len(parts)).cast("int")).alias("copies"),
-    )
-    return both.select(
-        "doc_id", "n_words", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s[0], s[1] - 1))))).cast("long").alias("n_hit"),
-        "items", "spans", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"),
-    ).drop("copy")
+        rows = rows.unionByName(p)
+    both = rows.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.count(F.lit(1)).alias("times"))
+
+    def merge(batch: pa.RecordBatch) -> dict:
+        merged = []
+        for n, spans in zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist()):
+            on = np.zeros(n, bool)
+            for first, end in spans:
+                on[first:end] = True
+            merged.append(_runs(on))
+        return {c: batch.column(c) for c in ("doc_id", "n_words", "items", "times")} | {"spans": merged, "n_hit": [sum(e - f for f, e in s) for s in merged]}
+
+    done = arrow_pass(both, merge, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>, times long")
+    copies = F.sequence(F.lit(1), (F.col("times") / len(parts)).cast("int"))
+    return done.withColumn("copy", F.explode(copies)).select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
 def proximity(docs: DataFrame, phrases: list[str], slop: int, id_col="doc_id", text_col="text") -> DataFrame:
