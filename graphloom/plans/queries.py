@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import changes, community, cycles, export, lookup, metrics, roles, rules, search, traverse
+from ..operators import changes, community, cycles, export, lookup, metrics, reports, roles, rules, search, traverse
 from . import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,6 +466,39 @@ def _(n, e, spark, d):
     return rules.check_deleted_exports(n, e, n.filter("file LIKE 'src/brand3/%'").select("file").distinct())
 
 
+# Composite reports
+
+
+@query("stats", "SELECT 'nodes' AS section, kind AS key, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'roles', role, count(*) FROM nodes GROUP BY 2 UNION ALL SELECT 'languages', CASE WHEN file LIKE '%.py' THEN 'python' WHEN file LIKE '%.rs' THEN 'rust' ELSE 'javascript' END, count(DISTINCT file) FROM nodes GROUP BY 2")
+def _(n, e, spark, d):
+    return reports.stats(n, e).select("section", "key", "n")
+
+
+@query("file_deps", "SELECT 'imports' AS relation, target_file AS name FROM pairs WHERE source_file = 'src/brand1/m0.js' UNION ALL SELECT 'imported_by', source_file FROM pairs WHERE target_file = 'src/brand1/m0.js' UNION ALL SELECT 'defines', name FROM nodes WHERE file = 'src/brand1/m0.js'", extra=_IMPORTS)
+def _(n, e, spark, d):
+    return reports.file_deps(n, e, "src/brand1/m0.js").select("relation", "name")
+
+
+@query("file_exports", "SELECT n.id, n.name, n.kind, count(u.consumer) AS consumers, count(u.consumer) > 0 AS used FROM nodes n LEFT JOIN (SELECT DISTINCT e.target_id AS id, CASE WHEN e.kind <> 'calls' THEN s.file ELSE s.name END AS consumer, s.file, e.kind <> 'calls' AS via FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.kind IN ('calls', 'imports', 'imports-type') AND s.file <> t.file) u USING (id) WHERE n.exported = 1 AND n.file = 'src/brand1/m1.js' GROUP BY ALL")
+def _(n, e, spark, d):
+    return reports.exports(n, e, "src/brand1/m1.js")
+
+
+@query("fn_deps", "SELECT root AS id, 'caller' AS relation, CAST(min(depth) AS INT) AS depth, node AS other_id FROM walk WHERE node <> root GROUP BY root, node UNION ALL SELECT source_id, 'callee', 1, target_id FROM calls WHERE source_id IN (SELECT id FROM own) AND source_id <> target_id", extra=f"{_CALLS}, own AS (SELECT id FROM nodes WHERE kind IN ('function', 'method', 'class') AND contains(lower(name), 'c12')), walk AS (SELECT id AS root, id AS node, 0 AS depth FROM own UNION SELECT w.root, c.source_id, w.depth + 1 FROM walk w JOIN calls c ON c.target_id = w.node WHERE w.depth < 2)")
+def _(n, e, spark, d):
+    return reports.fn_deps(n, e, "c12", 2).select("id", "relation", "depth", "other_id")
+
+
+@query("brief", "SELECT f.file, coalesce(s.symbols, 0) AS symbols, CAST(coalesce(s.callers, 0) AS BIGINT) AS callers, coalesce(i.importers, 0) AS importers, CASE WHEN coalesce(most, 0) >= 10 OR coalesce(core, 0) = 1 THEN 'high' WHEN coalesce(most, 0) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM files f LEFT JOIN (SELECT file, count(*) AS symbols, sum(c) AS callers, max(c) AS most, max((role = 'core')::INT) AS core FROM (SELECT o.file, o.role, (SELECT count(DISTINCT node) FROM walk w WHERE w.root = o.id AND w.node <> o.id) AS c FROM own o) GROUP BY 1) s USING (file) LEFT JOIN (SELECT target_file AS file, count(*) AS importers FROM pairs GROUP BY 1) i USING (file)", extra=f"{_CALLS}, {_IMPORTS}, files AS (SELECT DISTINCT file FROM nodes WHERE id % 150 = 3), own AS (SELECT id, file, role FROM nodes WHERE kind IN ('function', 'method', 'class') AND file IN (SELECT file FROM files)), walk AS (SELECT id AS root, id AS node, 0 AS depth FROM own UNION SELECT w.root, c.source_id, w.depth + 1 FROM walk w JOIN calls c ON c.target_id = w.node WHERE w.depth < 1)")
+def _(n, e, spark, d):
+    return reports.brief(n, e, n.filter("id % 150 = 3").select("file").distinct(), 1)
+
+
+@query("structure", "SELECT d.directory, d.files, d.symbols, round(d.symbols / d.files, 6) AS density FROM (SELECT directory, count(*) AS files, CAST(sum(symbols) AS BIGINT) AS symbols FROM dirs JOIN (SELECT file, count(*) AS symbols FROM nodes GROUP BY 1) USING (file) GROUP BY 1) d WHERE d.directory <> 'src'", extra=_DIRS)
+def _(n, e, spark, d):
+    return reports.structure(n, e).filter("directory <> 'src'").select("directory", "files", "symbols", F.round("density", 6).alias("density"))
+
+
 # 2.J co-change
 
 

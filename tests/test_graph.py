@@ -211,3 +211,30 @@ def test_exports(spark, graph):
     assert export.dot(lookup.file_edges(e, n), "source_file", "target_file").count() == 4
     assert export.graphson(n, e).count() == n.count() and export.graphml(n, e).count() == n.count() + e.count()
     assert export.aliases(["a/x.js", "b/x.js", "c/y.js"]) == {"a/x.js": "a/x.js", "b/x.js": "b/x.js", "c/y.js": "c/y.js"} and export.aliases(["a/x.js", "b/y.js"])["a/x.js"] == "x.js"
+
+
+def test_reports(spark, graph):
+    from graphloom.operators import reports
+
+    n, e = graph
+    hunks = spark.createDataFrame([("auth.js", 24, 30)], "file string, start int, stop int")
+    got = pairs(reports.diff_impact(n.filter("kind <> 'file'"), e, hunks), "relation", "name")
+    assert ("changed", "validateToken") in got and ("affected", "handleRoute") in got and ("file", "routes.js") in got
+    row = {r.name: r for r in reports.context(n, e, "authenticate").collect()}["authenticate"]
+    assert row.callees == ["validateToken"] and row.callers == ["authMiddleware"] and row.tests == ["testAuthenticate"]
+    after = n.filter("id <> 6").unionByName(n.filter("id = 6").withColumns({"name": F.lit("fresh"), "id": F.lit(60).cast("long")}))
+    got = pairs(reports.branch_compare((n, e), (after, e.filter("target_id <> 6"))), "change", "name", "impact")
+    assert got == [("added", "fresh", 0), ("changed", "handleRoute", 0), ("removed", "preAuthenticate", 1)]
+    health = spark.createDataFrame([(1, 20, 3, 2, 40.0)], "node_id long, cognitive int, cyclomatic int, max_nesting int, maintainability_index double")
+    assert pairs(reports.audit(n, e, health, "authenticate", {"cognitive": 15}).filter("id = 1"), "impact", "exceeds") == [(3, "cognitive")]
+    df, errors = reports.batch(lambda t: reports.file_deps(n, e, t) if t != "bad" else 1 / 0, ["auth.js,utils.js", "bad", "auth.js"])
+    assert sorted({r.target for r in df.collect()}) == ["auth.js", "utils.js"] and list(errors) == ["bad"]
+
+
+def test_points_to(spark):
+    from graphloom.operators.points_to import points_to, resolve
+
+    b = spark.createDataFrame([("f.js", "cb", "handler"), ("f.js", "alias", "cb"), ("f.js", "loop", "alias"), ("f.js", "cb", "loop"), ("g.js", "cb", "handler")], "file string, lhs string, rhs string")
+    found = points_to(b, spark.createDataFrame([("f.js", "handler"), ("f.js", "other")], "file string, name string"))
+    assert pairs(found, "file", "name", "target") == [("f.js", "alias", "handler"), ("f.js", "cb", "handler"), ("f.js", "loop", "handler")]
+    assert resolve(spark.createDataFrame([("f.js", "alias", 3)], "file string, name string, line int"), found).count() == 1
