@@ -119,7 +119,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         if many.isEmpty():
             break
         found.append(many.filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
-        rows = many.join(fine, "node").select("node", F.xxhash64("key", F.col("fine")[min(level, FINE - 1)]).alias("key"))
+        many = many.drop("c", "rep")
+        # The rows that split large buckets are fetched once and go with their members.
+        many = many.join(fine, "node") if level == 0 else many
+        rows = many.select("node", "fine", F.xxhash64("key", F.col("fine")[min(level, FINE - 1)]).alias("key"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -129,7 +132,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 def _links(own: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs whose texts pass the exact check."""
     wanted = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
-    texts = stage(own.join(wanted, "ord", "left_semi").groupBy("ord").agg(F.min("text").alias("text")))
+    # Merged at any size: whether the ids could be broadcast depends on the corpus, and so would the plan.
+    texts = stage(own.join(wanted.hint("merge"), "ord", "left_semi").groupBy("ord").agg(F.min("text").alias("text")))
     both = pairs.join(texts.select(F.col("ord").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("ord").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batch: pa.RecordBatch) -> dict:
