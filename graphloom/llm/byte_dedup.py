@@ -4,11 +4,14 @@ A suffix's first bucket is that of its q-gram, q half the string length, named b
 string of 2q bytes at s is named by the pair of bucket identifiers at s and at the later offset s + q, which is one
 refinement step of the bucket pointers. Suffixes are sampled so that sorting all of them is not needed: in every string
 the leftmost least q-gram identifier is its anchor, a choice that equal strings share. Anchors whose bucket has one
-member only are unique, and so are all strings they stand for. The others are refined twice:
+member only are unique, and so are all strings they stand for. The others are refined, by the same step each time:
 
-1. by the identifiers of the q-grams before and after (3q bytes, all strings the anchor can stand for): members of a
-   bucket that stays shared have all their strings repeated, and one of them remains as the bucket's witness;
-2. members that are alone by then, and witnesses, are refined string by string.
+1. anchors, by the identifier of all the strings that they stand for, from the first one's start to the last one's end;
+2. blocks of BLOCK strings beside an anchor, whose buckets are their common bytes, by the identifier of all their bytes;
+3. single strings.
+
+Members of a bucket that stays shared have all their strings repeated, and one of them remains as the bucket's witness;
+only members that are alone in a bucket of several, and witnesses of those, go on to the next step.
 
 Sorting and grouping by identifiers are Spark's: aggregated before the shuffle, with no bucket collected anywhere.
 """
@@ -20,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sequence, arrow_pass, doc_id_of, keyed, mix, signed, stage, table
+from .common import Sequence, arrow_pass, discard, doc_id_of, keyed, mix, signed, stage, table
 from .word_dedup import _listed, _of, _rows
 
 LENGTH = 200
+#: Strings of a block; texts are shorter than 4 GB / BLOCK.
+BLOCK = 8
 _CHUNK = 1 << 20
 _LETTERS = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -47,7 +52,7 @@ class Strings:
         self.sequence = Sequence(_LETTERS[np.frombuffer(text, np.uint8)])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, first string, end of strings) of each anchor; a long run may come in several pieces."""
+        """(place, first string, end of strings) of each anchor."""
         q, total = self.q, self.n - 2 * self.q + 1
         parts = []
         for low in range(0, max(total, 0), _CHUNK):
@@ -60,17 +65,17 @@ class Strings:
             parts.append((of[new] + low, new + low, np.append(new[1:], high - low) + low))
         if not parts:
             return (np.empty(0, np.int64),) * 3
-        return tuple(map(np.concatenate, zip(*parts)))
+        places, first, end = map(np.concatenate, zip(*parts))
+        new = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))  # a run may go on in the next piece
+        return places[new], first[new], np.append(end[new[1:] - 1], end[-1])
 
     def keys(self, places: np.ndarray) -> np.ndarray:
         return self.sequence.hashes(places, places + self.q)
 
-    def contexts(self, places: np.ndarray) -> np.ndarray:
-        """Identifier of the q bytes before, of and after each place's q-gram, with how far the text's ends cut them."""
-        q = self.q
-        low, high = np.maximum(places - q, 0), np.minimum(places + 2 * q, self.n)
-        cut = ((places - low) << 32 | (high - places)).astype(np.uint64)
-        return mix(self.sequence.hashes(low, high) ^ mix(cut))
+    def spans(self, places: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Identifier of all bytes of the strings that an anchor stands for, with their place around it."""
+        around = ((places - first) << 32 | (end - first)).astype(np.uint64)
+        return mix(self.sequence.hashes(first, end - 1 + 2 * self.q) ^ mix(around))
 
     def names(self, starts: np.ndarray) -> np.ndarray:
         """The pair of bucket identifiers at s and s + q, as one."""
@@ -87,8 +92,8 @@ def _anchors(docs: DataFrame, q: int) -> DataFrame:
             if len(text) < 2 * q:
                 return None
             strings = Strings(text, q)
-            places = np.unique(strings.anchors()[0])
-            contexts.append(signed(strings.contexts(places)))
+            places, first, end = strings.anchors()
+            contexts.append(signed(strings.spans(places, first, end)))
             return strings.keys(places), places
 
         key, ords, loc = _rows(batch, make)
@@ -101,22 +106,61 @@ def _strings_at(strings: Strings, places: np.ndarray) -> np.ndarray:
     """Starts of the strings whose anchor is one of places."""
     at, first, end = strings.anchors()
     ours = np.isin(at, places)
-    delta = np.zeros(strings.n + 2, np.int32)
-    np.add.at(delta, first[ours], 1)
-    np.add.at(delta, end[ours], -1)
-    return np.flatnonzero(np.cumsum(delta) > 0)
+    return _ranges(first[ours], end[ours])
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of [first, end) of all rows, one after another."""
+    n = end - first
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+
+
+def _block_strings(blocks: np.ndarray) -> np.ndarray:
+    """Starts of the strings of blocks given as start * BLOCK + (strings - 1)."""
+    first = blocks // BLOCK
+    return np.unique(_ranges(first, first + blocks % BLOCK + 1))
+
+
+def _blocks(listed: DataFrame, q: int) -> DataFrame:
+    """Of the anchors listed: their strings in blocks, bucketed by the bytes that all strings of the whole block share."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts, whole = batch.column("text"), []
+
+        def make(i: int):
+            wanted = _of(batch, i)
+            if not len(wanted):
+                return None
+            strings = Strings(texts[i].as_py(), q)
+            places, first, end = strings.anchors()
+            ours = np.isin(places, wanted)
+            at, first, end = places[ours], first[ours], end[ours]
+            # A block is the strings whose distance before the anchor is j * BLOCK and up to BLOCK - 1 more.
+            low, high = (at - end + 1) // BLOCK, (at - first) // BLOCK
+            j, of = _ranges(low, high + 1), np.repeat(np.arange(len(at)), high - low + 1)
+            start, stop = np.maximum(at[of] - j * BLOCK - BLOCK + 1, first[of]), np.minimum(at[of] - j * BLOCK + 1, end[of])
+            core = at[of] - j * BLOCK
+            hashes, around = strings.sequence.hashes, (j << 40 | (at[of] - start) << 20 | (at[of] - stop)).astype(np.uint64)
+            whole.append(signed(mix(hashes(start, stop - 1 + 2 * q) ^ mix(around))))
+            return mix(hashes(core, core + 2 * q - BLOCK + 1) ^ mix(j.astype(np.uint64))), start * BLOCK + (stop - start - 1)
+
+        key, ords, loc = _rows(batch, make)
+        return {"k": key, "c": np.concatenate(whole) if whole else [], "ord": ords, "loc": loc}
+
+    return arrow_pass(listed, run, "k long, c long, ord long, loc long")
 
 
 def _names(listed: DataFrame, q: int) -> DataFrame:
+    """Of the blocks listed: the identifiers of their strings."""
+
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text")
 
         def make(i: int):
-            places = _of(batch, i)
-            if not len(places):
+            blocks = _of(batch, i)
+            if not len(blocks):
                 return None
-            strings = Strings(texts[i].as_py(), q)
-            starts = _strings_at(strings, places)
+            strings, starts = Strings(texts[i].as_py(), q), _block_strings(blocks)
             return strings.names(starts), starts
 
         key, ords, loc = _rows(batch, make)
@@ -125,20 +169,35 @@ def _names(listed: DataFrame, q: int) -> DataFrame:
     return arrow_pass(listed, run, "w long, ord long, loc long")
 
 
-def repeated(docs: DataFrame, q: int) -> tuple[DataFrame, DataFrame]:
-    """((ord, locs) of anchors all of whose strings are repeated, (ord, locs) of single repeated strings)."""
-    anchors = _anchors(docs, q)
-    shared = anchors.groupBy("k").count().filter("count > 1").select("k")
-    members = stage(anchors.join(shared, "k"))
+def _refined(rows: DataFrame) -> DataFrame:
+    """One refinement of buckets k by c: (ord, whole, locs), the members that are repeated whole, and those to refine on."""
+    shared = rows.groupBy("k").count().filter("count > 1").select("k")
+    members = stage(rows.join(shared, "k"))
     buckets = members.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "loc")).alias("witness"))
-    mixed = buckets.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.lit(True).alias("mixed"))
-    state = buckets.join(mixed, "k", "left")
-    whole = members.join(state.filter("n > 1").select("k", "c"), ["k", "c"]).select("ord", "loc")
+    mixed = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k", F.lit(True).alias("mixed"))
+    state = members.join(mixed, "k", "left").join(buckets, ["k", "c"])
     # A bucket's witness stands for all its members; one that is alone is its own.
-    single = state.filter("mixed").select("witness.ord", "witness.loc")
-    names = stage(_names(docs.join(_listed(single), "ord"), q))
+    witness = F.col("mixed") & (F.col("ord") == F.col("witness.ord")) & (F.col("loc") == F.col("witness.loc"))
+    found = state.groupBy("ord").agg(
+        F.collect_list(F.when(F.col("n") > 1, F.col("loc"))).alias("whole"), F.collect_list(F.when(witness, F.col("loc"))).alias("locs")
+    )
+    found = stage(found.filter("size(whole) + size(locs) > 0"))
+    discard(members)
+    return found
+
+
+def repeated(docs: DataFrame, q: int) -> DataFrame:
+    """(ord, whole, blocks, locs): each document's anchors and blocks all of whose strings, and the single strings, that
+    are repeated."""
+    further = lambda found: docs.join(found.filter("size(locs) > 0").select("ord", "locs"), "ord")
+    anchors = _refined(_anchors(docs, q))
+    rows = stage(_blocks(further(anchors), q))
+    blocks = _refined(rows)
+    discard(rows)
+    names = stage(_names(further(blocks), q))
     twice = names.groupBy("w").count().filter("count > 1").select("w")
-    return _listed(whole), _listed(names.join(twice, "w").select("ord", "loc"))
+    single = _listed(names.join(twice, "w").select("ord", "loc"))
+    return anchors.select("ord", "whole").join(blocks.select("ord", F.col("whole").alias("blocks")), "ord", "full").join(single, "ord", "full")
 
 
 def dedup(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGTH) -> DataFrame:
@@ -146,26 +205,22 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
 
     A byte goes if a string of `length` bytes over it also starts anywhere else in any row, the same one included. A
     null or empty text has no bytes; shorter texts than `length` lose none. Repeated rows are copies of one another like
-    other equal texts. Only the named columns are read. length must be even.
+    other equal texts. Only the named columns are read. length must be even, 2 * BLOCK or more.
     """
-    if length % 2 or length < 2:
-        raise ValueError("length must be even")
+    if length % 2 or length < 2 * BLOCK:
+        raise ValueError(f"length must be even, {2 * BLOCK} or more")
     q = length // 2
     own = keyed(docs, id_col, text_col)
-    whole, single = repeated(own, q)
-    marks = whole.select("ord", F.col("locs").alias("whole"), F.array().cast("array<long>").alias("locs")).unionByName(
-        single.select("ord", F.array().cast("array<long>").alias("whole"), "locs")
-    )
-    marks = marks.groupBy("ord").agg(F.flatten(F.collect_list("whole")).alias("whole"), F.flatten(F.collect_list("locs")).alias("locs"))
-    joined = own.join(marks, "ord", "left").select("ord", "th", "text", "whole", "locs")
+    joined = own.join(repeated(own, q), "ord", "left").select("ord", "th", "text", "whole", "blocks", "locs")
 
     def run(batch: pa.RecordBatch) -> dict:
-        other = batch.set_column(4, "locs", batch.column("whole"))
         out = []
         for i, text in enumerate(batch.column("text").to_pylist()):
-            places, starts = _of(other, i), _of(batch, i)
+            places, blocks, starts = (_of(batch, i, c) for c in ("whole", "blocks", "locs"))
             if len(places):
                 starts = np.union1d(starts, _strings_at(Strings(text, q), places))
+            if len(blocks):
+                starts = np.union1d(starts, _block_strings(blocks))
             spans = []
             if len(starts):
                 gap = np.flatnonzero(np.diff(starts) > length)

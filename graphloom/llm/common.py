@@ -60,10 +60,19 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
     spark.sparkContext._jvm.System.gc()
     return staged
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete what stage() wrote, once nothing still to be computed reads it."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, filled on demand, bounded by CACHE."""
 
