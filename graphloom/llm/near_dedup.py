@@ -8,8 +8,9 @@ partition is tuned to it. Documents near a partition's upper bound are guests in
 exactly on their texts, and classes are the connected components of the links between different texts.
 
 Groups: equal texts are one node, aggregated before the shuffle. A band bucket of at most PAIRS nodes gives its pairs.
-A larger one links every member to its least node and is split by one further MinHash row after another, each part
-treated alike, so its cost is linear; near-copies that two rows would separate are still tied by the star.
+Larger buckets that overlap are one group, and all texts of a group are compared exactly: dealt into blocks of about
+BLOCK, each two blocks a unit of work, which returns a row for each text instead of one for each pair. So the rows grow
+with a group's size squared over BLOCK, and the comparisons with its square.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, mix, shingles, signed, stage, table, word_values
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: MinHash rows for bands, and further ones that split large buckets.
-ROWS, FINE = 200, 8
+#: MinHash rows for bands.
+ROWS = 200
 RECALL, PAIRS, SPAN = 0.995, 32, 2.0
+#: Texts in a block of a group, and distinct shingles that are compared at a time.
+BLOCK, WIDTH = 128, 4096
 _rng = np.random.default_rng(42)
-_A = _rng.integers(1, 1 << 63, ROWS + FINE, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, ROWS + FINE, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64)
 
 
 def partition_of(n: int) -> int:
@@ -58,8 +61,8 @@ def banding(bound: float, rows: int = ROWS, recall: float = RECALL) -> tuple[int
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The least value of each of ROWS + FINE hash functions over the shingles, in bounded memory."""
-    best = np.full(ROWS + FINE, np.iinfo(np.uint64).max, np.uint64)
+    """The least value of each of ROWS hash functions over the shingles, in bounded memory."""
+    best = np.full(ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(found), 1024):
         np.minimum(best, (found[i : i + 1024, None] * _A + _B).min(axis=0), out=best)
     return mix(best)
@@ -84,56 +87,52 @@ def _values(text: bytes) -> np.ndarray:
 
 
 def _nodes(own: DataFrame, size: int, similarity: float) -> DataFrame:
-    """One row for each different text: h1, h2, node (least doc_id), keys, fine."""
+    """One row for each different text: h1, h2, node (least doc_id), keys."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        keys, fine = [], []
+        keys = []
         for text in batch.column("text").to_pylist():
             found = shingles(_values(text), size)
-            if len(found):
-                sig = signature(found)
-                keys.append(signed(band_keys(sig, len(found), similarity)))
-                fine.append(signed(sig[ROWS:]))
-            else:
-                keys.append([])
-                fine.append([])
-        return {c: batch.column(c) for c in ("h1", "h2", "ord")} | {"keys": keys, "fine": fine}
-
-    signed_rows = arrow_pass(own, run, "h1 long, h2 long, ord long, keys array<long>, fine array<long>")
-    least = signed_rows.groupBy("h1", "h2").agg(F.min(F.struct("ord", "keys", "fine")).alias("s"), F.count(F.lit(1)).alias("copies"))
-    return stage(least.select("h1", "h2", F.col("s.ord").alias("node"), "s.keys", "s.fine", "copies"))
-
-
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, to be checked."""
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    fine = nodes.select("node", "fine")
-    found = []
-    for level in range(FINE + 1):
-        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("rep")).filter("c > 1")
-        members = stage(rows.join(buckets, "key"))
-        few = members.filter(F.col("c") <= PAIRS).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("ns"))
-        first = few.select("ns", F.posexplode("ns").alias("i", "a"))
-        found.append(first.select("a", F.explode(F.expr(f"slice(ns, i + 2, {PAIRS})")).alias("b")))
-        many = members.filter(F.col("c") > PAIRS)
-        if many.isEmpty():
-            break
-        found.append(many.filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
-        many = many.drop("c", "rep")
-        # The rows that split large buckets are fetched once and go with their members.
-        many = many.join(fine, "node") if level == 0 else many
-        rows = many.select("node", "fine", F.xxhash64("key", F.col("fine")[min(level, FINE - 1)]).alias("key"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return stage(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("buckets")).select("a", "b"))
-
-
-def _links(own: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose texts pass the exact check."""
-    wanted = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
+            keys.append(signed(band_keys(signature(found), len(found), similarity)) if len(found) else [])
+        return {c: batch.column(c) for c in ("h1", "h2", "ord")} | {"keys": keys}
+
+    signed_rows = arrow_pass(own, run, "h1 long, h2 long, ord long, keys array<long>")
+    least = signed_rows.groupBy("h1", "h2").agg(F.min(F.struct("ord", "keys")).alias("s"), F.count(F.lit(1)).alias("copies"))
+    return stage(least.select("h1", "h2", F.col("s.ord").alias("node"), "s.keys", "copies"))
+
+
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, to be checked, and groups (node, root), in which every pair is."""
+    rows = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("rep")).filter("c > 1")
+    members = stage(rows.join(buckets, "key"))
+    groups = _groups(members.filter(F.col("c") > PAIRS))
+    few = members.filter(F.col("c") <= PAIRS).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("ns"))
+    first = few.select("ns", F.posexplode("ns").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.expr(f"slice(ns, i + 2, {PAIRS})")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("buckets"))
+    # What a group compares is not a pair as well: every link is counted once.
+    for x in "ab":
+        pairs = pairs.join(groups.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
+    return stage(pairs.filter("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")), groups
+
+
+def _groups(many: DataFrame) -> DataFrame:
+    """(node, root) of the members of large buckets, root the least of all that overlapping buckets tie."""
+    ties = stage(many.filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
+    if ties.isEmpty():
+        return ties.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    tied = components(ties)
+    return stage(tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct()))
+
+
+def _texts(own: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("ord")).unionByName(groups.select(F.col("node").alias("ord"))).distinct()
     # Merged at any size: whether the ids could be broadcast depends on the corpus, and so would the plan.
-    texts = stage(own.join(wanted.hint("merge"), "ord", "left_semi").groupBy("ord").agg(F.min("text").alias("text")))
+    return stage(own.join(wanted.hint("merge"), "ord", "left_semi").groupBy("ord").agg(F.min("text").alias("text")))
+
+
+def _links(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose texts pass the exact check."""
     both = pairs.join(texts.select(F.col("ord").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("ord").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -160,6 +159,53 @@ def _links(own: DataFrame, pairs: DataFrame, size: int, similarity: float) -> Da
     return stage(arrow_pass(both, run, "a long, b long"))
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share (the diagonal is left open), in bounded memory."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = n > 1
+    row, column = row[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(common.sum()), WIDTH):
+        i, j = np.searchsorted(column, (start, start + WIDTH))
+        has = np.zeros((len(sets), WIDTH), np.float32)
+        has[row[i:j], column[i:j] - start] = 1
+        counts += (has @ has.T).astype(np.int64)
+    return counts
+
+
+def _inside(texts: DataFrame, groups: DataFrame, size: int, similarity: float) -> DataFrame:
+    """For every two blocks of a group, the texts that have links between them (or in a block, if it is paired with
+    itself): node, root (the least text that those links tie it to), n (its links)."""
+    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
+    dealt = groups.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), "k"))
+    units = dealt.select("root", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    units = units.select("root", "node", "own", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"))
+    rows = units.join(texts.withColumnRenamed("ord", "node"), "node")
+
+    def run(unit: pa.Table) -> pa.Table:
+        node = unit.column("node").to_numpy()
+        own = unit.column("own").to_numpy()
+        sets = [shingles(_values(x), size) for x in unit.column("text").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        ok = shared_counts(sets) >= similarity * np.maximum(n[:, None], n) - 1e-9
+        # Two different blocks meet for the links between them; a block meets itself for those inside.
+        ok &= (own[:, None] != own) if unit.column("s")[0].as_py() != unit.column("t")[0].as_py() else ~np.eye(len(n), dtype=bool)
+        degree = ok.sum(axis=1)
+        root = node.copy()
+        while True:
+            low = np.minimum(root, np.where(ok, root, np.iinfo(np.int64).max).min(axis=1))
+            if (low == root).all():
+                break
+            root = low
+        some = degree > 0
+        return pa.table({"node": node[some], "root": root[some], "n": degree[some].astype(np.int64)})
+
+    return stage(rows.groupBy("root", "s", "t").applyInArrow(run, "node long, root long, n long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes, root the least of the component: alternating large-star and small-star."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
@@ -189,9 +235,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     read = docs.select(F.col(id_col).cast("long").alias("ord"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.cast("binary").alias("text"))
     own = read.filter("ord IS NOT NULL")
     nodes = _nodes(own, size, similarity)
-    links = _links(own.select("ord", "text"), _candidates(nodes), size, similarity)
-    roots = components(_bound(nodes, own, links))
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    pairs, groups = _candidates(nodes)
+    texts = _texts(own.select("ord", "text"), pairs, groups)
+    links, inside = _links(texts, pairs, size, similarity), _inside(texts, groups, size, similarity)
+    roots = components(_bound(nodes, own, links.unionByName(inside.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    degrees = ends.unionByName(inside.select("node", "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
     names = nodes.select("h1", "h2", "node", "copies").join(roots, "node", "left").join(degrees, "node", "left")
     names = names.select("h1", "h2", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
     done = own.select("ord", "h1", "h2").join(names, ["h1", "h2"])

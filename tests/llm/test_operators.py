@@ -104,6 +104,25 @@ def test_large_buckets_lose_no_class(spark):
     assert got == classes(rows)
 
 
+def test_every_pair_of_a_template_is_compared(spark):
+    base, rng, rows = prose(30, 240).split(), random.Random(8), []
+    for i in range(200):  # about as near the template as two of them are near each other: buckets of far more than PAIRS
+        own = list(base)
+        for k in range(4 + i % 3):
+            own[5 + 38 * k + rng.randrange(30)] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    found = [(i, set(zip(*[t.lower().split()[k:] for k in range(5)]))) for i, t in rows]
+    want = dict.fromkeys(range(len(rows)), 0)
+    for k, (i, x) in enumerate(found):
+        for j, y in found[:k]:
+            if len(x & y) >= 0.8 * max(len(x), len(y)) - 1e-9:
+                want[i] += 1
+                want[j] += 1
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes(rows)
+    assert {r.doc_id: r.n_links for r in got} == want
+
+
 def test_banding_meets_its_recall():
     for p in range(12):
         s = near_dedup.jaccard_bound(p, 0.8)
