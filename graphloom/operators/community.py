@@ -1,7 +1,8 @@
 """Communities: Leiden, its quality functions, coarsening and drift.
 
-Quality, coarsening, aggregation and drift are DataFrame operations. The optimiser runs on the driver for graphs of at
-most DRIVER_EDGES aggregated pairs; larger graphs are split by connected component and optimised in grouped tasks.
+Quality, coarsening, aggregation and drift are DataFrame operations. The optimiser takes one connected component after
+another, each with the whole graph's weight: on the driver for graphs of at most DRIVER_EDGES aggregated pairs, in grouped
+tasks for larger ones, with the same results.
 """
 
 from __future__ import annotations
@@ -66,8 +67,9 @@ def mulberry(seed: int):
     return step
 
 
-def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float = 1.0, max_levels: int = 50, max_passes: int = 20) -> dict:
-    """Rows 191-195: node -> community (least member): local moves, random refinement inside communities, coarsening."""
+def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float = 1.0, max_levels: int = 50, max_passes: int = 20, total: float | None = None) -> dict:
+    """Rows 191-195: node -> community (least member): local moves, random refinement inside communities, coarsening.
+    total is the weight of the whole graph, if pairs are a part of it."""
     rng = mulberry(seed)
     names = sorted({x for a, b, _ in pairs for x in (a, b)})
     at = {x: i for i, x in enumerate(names)}
@@ -80,7 +82,7 @@ def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float
         else:
             graph[i][j] = graph[i].get(j, 0.0) + w
             graph[j][i] = graph[j].get(i, 0.0) + w
-    total = sum(loops) + sum(sum(g.values()) for g in graph) / 2
+    total = sum(loops) + sum(sum(g.values()) for g in graph) / 2 if total is None else total
     if not total:
         return {x: x for x in names}
     group = list(range(len(names)))  # of original nodes: the coarse node that holds them
@@ -188,20 +190,41 @@ def communities(edges: DataFrame, weight: str | None = None, gamma: float = 1.0,
     """Rows 191, 203, 373: (node, community), community the least member."""
     pairs = undirected_pairs(edges, weight)
     kind = dict(pairs.dtypes)["a"]
-    if pairs.count() <= driver_edges:
-        found = leiden([tuple(r) for r in pairs.collect()], gamma, seed)
+    n, total = pairs.agg(F.count(F.lit(1)), F.sum("w")).first()
+    if n <= driver_edges:
+        parts = _parts(sorted(tuple(r) for r in pairs.collect()))
+        found = {x: c for part in parts for x, c in leiden(part, gamma, seed, total=total).items()}
         return edges.sparkSession.createDataFrame(sorted(found.items()), f"node {kind}, community {kind}")
     # Modularity couples components only through the total weight; a component is the unit of a task.
     of = connected(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
     tagged = pairs.join(of.withColumnRenamed("node", "a"), "a")
 
     def optimise(rows: pd.DataFrame) -> pd.DataFrame:
-        found = leiden(list(rows[["a", "b", "w"]].itertuples(index=False, name=None)), gamma, seed)
+        part = sorted(rows[["a", "b", "w"]].itertuples(index=False, name=None))
+        found = leiden(part, gamma, seed, total=total)
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
     return tagged.groupBy("component").applyInPandas(optimise, f"node {kind}, community {kind}")
 
 
+def _parts(pairs: list[tuple]) -> list[list[tuple]]:
+    """The pairs of each connected component, in their order."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b, _ in pairs:
+        up[top(a)] = top(b)
+    parts: dict = {}
+    for pair in pairs:
+        parts.setdefault(top(pair[0]), []).append(pair)
+    return list(parts.values())
+
+
 def drift(membership: DataFrame) -> DataFrame:
     """Row 204: membership has (community, directory); one row: split_directories, merge_communities, drift_score."""
     rows = membership.select("community", "directory").distinct()
