@@ -447,8 +447,7 @@ def _(n, e, spark, d):
 
 @query("roles_reachable")
 def _(n, e, spark, d):
-    thin = e.filter("source_id % 4 = 0 OR kind <> 'calls'")
-    return roles.classify(roles.inputs(n, thin), thin)
+    return roles.classify(roles.inputs(n, e), e)
 
 
 @query("check_signatures", "SELECT id, name, file, line FROM nodes n WHERE exported = 1 AND EXISTS (SELECT 1 FROM hunks h WHERE h.file = n.file AND n.line BETWEEN h.start AND h.stop)", extra=_HUNKS)
