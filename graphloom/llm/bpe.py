@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE, arrow_pass, table
+from .common import CACHE_BYTES, Cache, arrow_pass, table
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Letters whose class and case no Unicode version of this decade has changed; texts with others take the library's split.
@@ -58,8 +58,8 @@ class Encoder:
             own = [byte_of[c] for c in token.removesuffix(self.end)]
             for a, b in zip(own, own[1:]):
                 self.joined[a << 8 | b] = 1
-        self.fragments: dict[tuple[bytes, bool], list[int]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.fragments: Cache = Cache(CACHE_BYTES, inner=True)
+        self.words: Cache = Cache(2 * CACHE_BYTES, inner=True)
 
     def cuts(self, word: bytes) -> list[bytes]:
         """The fragments between forced boundaries."""
@@ -113,9 +113,7 @@ class Encoder:
                 ids[-1] = self.last[part[-1]]
             got = self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
             if len(part) <= 64:
-                if len(self.fragments) >= CACHE:
-                    self.fragments.clear()
-                self.fragments[part, last] = got
+                self.fragments.put((part, last), got, 280 + len(part) + 8 * len(got))
         return got
 
     def word(self, token: str) -> list[int]:
@@ -131,9 +129,7 @@ class Encoder:
         ids = self.word(token)
         got = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
         if len(token) <= 64:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[token] = got
+            self.words.put(token, got, 320 + len(token) + len(got[0]) + len(got[1]))
         return got
 
     @staticmethod
@@ -176,14 +172,12 @@ class Encoder:
         return (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders = Cache()
 
 
 def encoder(path: str) -> Encoder:
     """One per process and vocabulary file; the file is found on every machine by the same path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return _encoders.get(path) or _encoders.put(path, Encoder(path), 0)
 
 
 def default_path() -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,8 +15,45 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where an order is needed: such rows come after all others.
 LAST = (1 << 63) - 1
-#: Entries that a per-process cache may hold before it is emptied; results never depend on it.
-CACHE = 400_000
+COLLECT_S = 5.0
+_collected = 0.0
+#: Bytes that a per-process cache may hold, by estimate, before it is emptied; results never depend on it.
+CACHE_BYTES = 32 << 20
+
+
+class Cache(dict):
+    """A dict of bounded bytes, emptied when they are used up and when a worker turns to another operator's tasks."""
+
+    every: list[Cache] = []
+    step = ""
+
+    def __init__(self, limit: int = CACHE_BYTES, inner: bool = False):
+        """inner: it is part of an object that such a cache holds, and goes with it."""
+        self.limit, self.used = limit, 0
+        if not inner:
+            Cache.every.append(self)
+
+    def put(self, key: object, value: object, cost: int):
+        """Keep value, whose entry takes about `cost` bytes, and return it."""
+        if self.used + cost > self.limit:
+            self.clear()
+        if cost <= self.limit:
+            self.used += cost
+            self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
+
+def enter(step: str) -> None:
+    """A task of `step` begins in this worker: what other steps have cached goes, as workers are used again and again."""
+    if Cache.step != step:
+        for cache in Cache.every:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+        Cache.step = step
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +65,10 @@ def arrow_pass(df: DataFrame, columns: Callable[[pa.RecordBatch], dict], schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target, step = to_arrow_schema(StructType.fromDDL(schema)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(step)
         for batch in batches:
             if batch.num_rows:
                 got = columns(batch)
@@ -54,14 +93,18 @@ def stage(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here and survives lost executors.
 
     The shuffles behind it are of no more use. Spark deletes their files once the driver's JVM has collected what refers
-    to them, which may be much later than the next shuffle needs the disk; so it is asked to collect now.
+    to them, which may be much later than the next shuffle needs the disk (there is no other call for it), so it is
+    asked to collect now; not more often than every COLLECT_S seconds, as what short stages shuffle is little.
     """
+    global _collected
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected > COLLECT_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     return staged
 
 
@@ -73,14 +116,11 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, filled on demand, bounded by CACHE."""
+class WordHashes(Cache):
+    """word (bytes) -> 64-bit hash, filled on demand."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+        return self.put(word, xxhash.xxh64_intdigest(word), 170 + len(word))
 
 
 WORDS = WordHashes()
@@ -142,16 +182,20 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] | None = None) -> DataFrame:
-    """(ord, th, text): the order of a row's document, 31 bits of its text's hash and its UTF-8 bytes (null: empty).
+    """(ord, th, text): a row's doc_id, 31 bits of its text's hash and its UTF-8 bytes (null: empty).
 
-    With carry, also the struct carried: those columns as c0, c1, ..., and the field `n`, their number.
+    A row without a doc_id gets a hash of its text as ord, so that such rows are many keys and not one, and a negative
+    th, by which rank_of() puts it after all others. With carry, also the struct carried: those columns as c0, c1, ...,
+    and the field `n`, their number.
 
     Rows of one id with different texts differ in th; repeated rows are alike in all three and get like results.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    bits, known = (1 << 31) - 1, F.col(id_col).cast("long")
+    th = F.xxhash64(text).bitwiseAND(F.lit(bits))
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).alias("th"),
+        F.coalesce(known, F.xxhash64(F.lit(7), text)).alias("ord"),
+        F.when(known.isNull(), th - F.lit(bits + 1)).otherwise(th).alias("th"),
         text.cast("binary").alias("text"),
         *([] if carry is None else [F.struct(F.lit(len(carry)).alias("n"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")]),
     )
@@ -164,5 +208,10 @@ def without(docs: DataFrame, id_col: str, rejected: DataFrame) -> DataFrame:
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_rejected_ord"), "left_anti")
 
 
-def doc_id_of(ord_col: str = "ord") -> F.Column:
-    return F.when(F.col(ord_col) != F.lit(LAST), F.col(ord_col))
+def rank_of(sign: str) -> F.Column:
+    """The place of a row of keyed() in the order of documents; sign is a column that is negative where th is."""
+    return F.when(F.col(sign) < 0, F.lit(LAST)).otherwise(F.col("ord"))
+
+
+def doc_id_of() -> F.Column:
+    return F.when(F.col("th") >= 0, F.col("ord"))

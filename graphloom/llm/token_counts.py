@@ -1,21 +1,23 @@
 """Operator 1: token counts of a unigram segmentation, by dynamic programming over a shared trie.
 
-The distinct pre-tokens (words with the space mark in front) go into a trie. A node stands for a prefix and holds the
-best score of any segmentation of it into pieces, computed once however many words share the prefix; the nodes where
-words end keep the count of tokens. Texts are then sums over their words, in one narrow pass without a shuffle.
+The distinct pre-tokens of a batch (words with the space mark in front) go into a trie in order, which visits its nodes
+depth first. A node stands for a prefix and holds the best score of any segmentation of it into pieces, computed once
+however many words share the prefix; the nodes where words end store their count of tokens. Only the nodes above the
+current one are kept, so that the trie takes no more room than its longest word. Texts are then sums of the terminal
+counts of their words, in one narrow pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE, arrow_pass, table
+from .common import CACHE_BYTES, Cache, arrow_pass, table
 
 MARK = "▁"
-#: Trie nodes that a process keeps before it starts anew.
-NODES = 600_000
 
 
 class Trie:
@@ -27,60 +29,51 @@ class Trie:
     def __init__(self, pieces: dict[str, float]):
         self.unknown = min(pieces.values(), default=0.0) - self.UNKNOWN
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
-        self.counts: dict[str, int] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
-        # Nodes are numbers: child of (node, letter), best forward score and its tokens. Flat, so that they cost little.
-        self.child: dict[int, int] = {}
-        self.score, self.tokens = [0.0], [0]
-        self.counts.clear()
-
-    def _grow(self, text: str, end: int, path: list[int]) -> None:
-        """Add the node of text[:end]; path has those of all shorter prefixes."""
-        pieces, score, tokens = self.pieces, self.score, self.tokens
-        best, least = None, 0
-        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
-            own = pieces.get(text[start:end])
-            if own is not None:
-                total = score[path[start]] + own
-                if best is None or total > best or total == best and tokens[path[start]] + 1 < least:
-                    best, least = total, tokens[path[start]] + 1
-        letter = text[end - 1]
-        if letter not in pieces:
-            total = score[path[end - 1]] + self.unknown
-            if best is None or total > best:
-                best, least = total, tokens[path[end - 1]] + len(letter.encode("utf-8", "surrogatepass"))
-        path.append(len(score))
-        score.append(best)
-        tokens.append(least)
-
-    def __getitem__(self, word: str) -> int:
-        """Tokens of MARK + word."""
-        got = self.counts.get(word)
-        if got is not None:
-            return got
-        keep = len(word) <= 64
-        if len(self.score) >= NODES or len(self.counts) >= CACHE:
-            self._fresh()
-        text, node, path, child = MARK + word, 0, [0], self.child
+        self.longest: dict[str, int] = {}  # of the pieces that end in a letter
+        for p in pieces:
+            self.longest[p[-1:]] = max(len(p), self.longest.get(p[-1:], 0))
+        #: Terminal counts that later batches need again.
+        self.known = Cache(CACHE_BYTES, inner=True)
+        # The path to the current node: its letters, and of each prefix the best forward score and that one's tokens.
+        self.text, self.score, self.tokens = "", [0.0], [0]
+
+    def _insert(self, text: str) -> int:
+        """The terminal count of text; nodes shared with the word before are there already."""
+        pieces, longest, score, tokens = self.pieces, self.longest, self.score, self.tokens
         shared = 0
-        for c in text:
-            node = child.get(node << 21 | ord(c), -1)
-            if node < 0:
+        for a, b in zip(text, self.text):
+            if a != b:
                 break
-            path.append(node)
             shared += 1
+        del score[shared + 1 :], tokens[shared + 1 :]
         for end in range(shared + 1, len(text) + 1):
-            self._grow(text, end, path)
-            if keep:
-                child[path[end - 1] << 21 | ord(text[end - 1])] = path[end]
-        got = self.tokens[path[-1]]
-        if keep:
-            self.counts[word] = got
-        elif shared < len(text):
-            del self.score[path[shared + 1] :], self.tokens[path[shared + 1] :]
+            letter = text[end - 1]
+            best, least = None, 0
+            for start in range(end - 1, max(0, end - longest.get(letter, 0)) - 1, -1):
+                own = pieces.get(text[start:end])
+                if own is not None:
+                    total = score[start] + own
+                    if best is None or total > best or total == best and tokens[start] + 1 < least:
+                        best, least = total, tokens[start] + 1
+            if letter not in pieces:
+                total = score[end - 1] + self.unknown
+                if best is None or total > best:
+                    best, least = total, tokens[end - 1] + len(letter.encode("utf-8", "surrogatepass"))
+            score.append(best)
+            tokens.append(least)
+        self.text = text
+        return tokens[-1]
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """Tokens of MARK + word for each of the words; an empty word has none."""
+        known = self.known
+        new = {w: 0 for w in words if w not in known}
+        for w in sorted(new):
+            new[w] = self._insert(MARK + w) if w else 0
+        got = np.fromiter((new[w] if w in new else known[w] for w in words), np.int64, len(words))
+        for w, n in new.items():
+            if len(w) <= 64:
+                known.put(w, n, 160 + len(w))
         return got
 
 
@@ -93,13 +86,11 @@ def pieces_of(path: str) -> dict[str, float]:
     return {model.id_to_piece(i): model.get_score(i) for i in n if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
 
 
-_tries: dict[str, Trie] = {}
+_tries = Cache()
 
 
 def trie(path: str) -> Trie:
-    if path not in _tries:
-        _tries[path] = Trie(pieces_of(path))
-    return _tries[path]
+    return _tries.get(path) or _tries.put(path, Trie(pieces_of(path)), 0)
 
 
 def default_path() -> str:
@@ -116,9 +107,14 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col="doc_id", text
     path = path or default_path()
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = trie(path)
-        words = [(t or "").split() for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "n_pretokens": [len(w) for w in words], "n_tokens": [sum(map(own.__getitem__, w)) for w in words]}
+        lists = pc.utf8_split_whitespace(pc.fill_null(batch.column("text"), ""))
+        coded = lists.flatten().dictionary_encode()
+        own = trie(path).counts(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        ends = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy()]))
+        # White space at a text's ends gives empty words, which have no tokens and aren't counted.
+        sums = [np.concatenate([[0], np.cumsum(x[at])])[ends] for x in (own, own > 0)]
+        return {"doc_id": batch.column("doc_id"), "n_pretokens": np.diff(sums[1]), "n_tokens": np.diff(sums[0])}
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return arrow_pass(read, run, "doc_id long, n_pretokens long, n_tokens long")
