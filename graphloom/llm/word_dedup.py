@@ -7,8 +7,12 @@ many words on both sides as windows around them can reach: if a document with a
 windows are repeated. Only around the other anchors, near the ends of what documents share, windows are hashed whole
 and compared, and each is removed if a document with a smaller id has it.
 
-Hot keys: counts and least ids of anchors and windows are aggregated before their shuffle, and the joins that find the
-members again are plain equi-joins that Spark splits when a key is skewed. No group is ever collected.
+Hot keys: counts and least ids of anchors and windows are aggregated before their shuffle and written; the joins that
+find the members again have nothing but shuffles on either side, so that Spark splits them where a key is skewed. What
+is collected is one document's own places.
+
+Anchors with equal contexts agree in two 64-bit hashes, of the anchor and of all its context; windows are compared by
+two independent ones.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sequence, arrow_pass, doc_id_of, keyed, mix, signed, stage, table, word_values
+from .common import Sequence, arrow_pass, discard, doc_id_of, keyed, mix, rank_of, signed, stage, table, word_values
 
 WINDOW = 50
 PERIOD = 31
@@ -96,42 +100,54 @@ def _of(batch: pa.RecordBatch, i: int, column: str = "locs") -> np.ndarray:
 
 def _windows(listed: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text")
+        texts, checks = batch.column("text"), []
 
         def make(i: int):
             words = texts[i].as_py().split()
             # What an earlier document is known to have needs no window: the least document that has it shows its own.
             at = np.setdiff1d(_near(_of(batch, i), len(words), window), _near(_of(batch, i, "whole"), len(words), window), assume_unique=True)
-            return Sequence(word_values(words)).hashes(at, at + window), at
+            values = word_values(words)
+            if len(at):
+                checks.append(signed(Sequence(mix(values)).hashes(at, at + window)))
+            return Sequence(values).hashes(at, at + window), at
 
         key, ords, loc = _rows(batch, make)
-        return {"w": key, "ord": ords, "loc": loc}
+        return {"w": key, "v": np.concatenate(checks) if checks else [], "ord": ords, "loc": loc}
+
+    return arrow_pass(listed, run, "w long, v long, ord long, loc long")
+
 
-    return arrow_pass(listed, run, "w long, ord long, loc long")
+#: SQL: the th that a loc carries.
+_TH = "shiftright(loc, 32) AS th"
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    """One row a document: the locs that concern it. Bounded by the document's own length."""
-    return rows.groupBy("ord").agg(F.collect_list("loc").alias("locs"))
+    """(ord, th, locs): the places of each document that concern it, bounded by its own length. A set, as many equal
+    rows may share a key."""
+    return rows.selectExpr("ord", _TH, "loc").groupBy("ord", "th").agg(F.collect_set("loc").alias("locs"))
 
 
 def removal_marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(ord, whole, locs): each document's anchors all of whose windows, and single windows, that an earlier one has."""
-    anchors = _anchors(docs, window)
-    shared = anchors.groupBy("k").agg(F.min("ord").alias("a"), F.max("ord").alias("z")).filter("a < z").select("k")
+    """(ord, th, whole, locs): each document's anchors all of whose windows, and single windows, that an earlier one
+    has."""
+    anchors, rank = _anchors(docs, window), rank_of("loc")
+    shared = stage(anchors.groupBy("k").agg(F.min(rank).alias("a"), F.max(rank).alias("z")).filter("a < z").select("k"))
     members = stage(anchors.join(shared, "k"))
-    groups = members.groupBy("k", "c").agg(F.min("ord").alias("least"))
-    mixed = groups.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.lit(True).alias("mixed"))
-    state = members.join(groups.join(mixed, "k", "left"), ["k", "c"])
-    found = state.groupBy("ord").agg(
-        F.collect_list(F.when(F.col("ord") > F.col("least"), F.col("loc"))).alias("whole"),
-        F.collect_list(F.when((F.col("ord") == F.col("least")) & F.col("mixed"), F.col("loc"))).alias("locs"),
+    groups = stage(members.groupBy("k", "c").agg(F.min(rank).alias("least")))
+    mixed = stage(groups.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("k", F.lit(True).alias("mixed")))
+    named = stage(groups.join(mixed, "k", "left"))
+    state = members.join(named, ["k", "c"]).withColumn("rank", rank).selectExpr("ord", _TH, "loc", "rank", "least", "mixed")
+    found = state.groupBy("ord", "th").agg(
+        F.collect_set(F.when(F.col("rank") > F.col("least"), F.col("loc"))).alias("whole"),
+        F.collect_set(F.when((F.col("rank") == F.col("least")) & F.col("mixed"), F.col("loc"))).alias("locs"),
     )
     found = stage(found.filter("size(whole) + size(locs) > 0"))
-    windows = stage(_windows(docs.join(found.filter("size(locs) > 0"), "ord"), window))
-    first = windows.groupBy("w").agg(F.min("ord").alias("a"), F.max("ord").alias("z")).filter("a < z").select("w", "a")
-    single = _listed(windows.join(first, "w").filter("ord > a").select("ord", "loc"))
-    return found.select("ord", "whole").join(single, "ord", "full")
+    discard(shared, members, groups, mixed, named)
+    windows = stage(_windows(docs.join(found.filter("size(locs) > 0"), ["ord", "th"]), window))
+    first = stage(windows.groupBy("w", "v").agg(F.min(rank).alias("a"), F.max(rank).alias("z")).filter("a < z").select("w", "v", "a"))
+    single = stage(_listed(windows.join(first, ["w", "v"]).filter(rank > F.col("a")).select("ord", "loc")))
+    discard(windows, first)
+    return found.select("ord", "th", "whole").join(single, ["ord", "th"], "full")
 
 
 def dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW, carry: tuple[str, ...] = (), preserve: bool = False) -> DataFrame:
@@ -146,7 +162,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDO
         raise ValueError(f"window must be {PERIOD} or more")
     own = keyed(docs, id_col, text_col, carry)
     marks = removal_marks(own.select("ord", "th", "text"), window)
-    joined = own.join(marks, "ord", "left")
+    joined = own.join(marks, ["ord", "th"], "left")
     kind = own.schema["carried"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -168,9 +184,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDO
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
             kept.append(text if preserve and len(left) == len(words) else b" ".join(left))
-        return {"ord": batch.column("ord"), "carried": batch.column("carried"), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        return {"ord": batch.column("ord"), "th": batch.column("th"), "carried": batch.column("carried"), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())}
 
-    done = arrow_pass(joined.select("ord", "th", "text", "whole", "locs", "carried"), run, f"ord long, n_words long, n_removed long, kept string, carried {kind}")
+    done = arrow_pass(joined.select("ord", "th", "text", "whole", "locs", "carried"), run, f"ord long, th long, n_words long, n_removed long, kept string, carried {kind}")
     return done.select(doc_id_of().alias("doc_id"), "n_words", "n_removed", "kept", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
