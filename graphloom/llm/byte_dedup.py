@@ -1,19 +1,25 @@
 """Operator 5: substring deduplication by bucket-pointer refinement over sampled suffixes.
 
-A suffix's first bucket is that of its q-gram, q half the string length, named by a 64-bit identifier of the q-gram. A
-string of 2q bytes at s is named by the pair of bucket identifiers at s and at the later offset s + q, which is one
-refinement step of the bucket pointers. Suffixes are sampled so that sorting all of them is not needed: in every string
-the leftmost least q-gram identifier is its anchor, a choice that equal strings share. Anchors whose bucket has one
-member only are unique, and so are all strings they stand for. The others are refined, by the same step each time:
+Every suffix has a bucket, named by a 64-bit identifier. The first buckets are those of the q-grams of GRAM = q / 4
+bytes, where a string to look for has 2q bytes. A refinement names a suffix's next bucket by the pair of its bucket's
+identifier and that of the suffix at a later offset, so identifiers of q / 2 bytes come from those of q / 4, those of q
+bytes from those of q / 2, and a whole string's from those of q bytes at s and at s + q; each round uses the updated
+identifiers of the round before. Identifiers are made from the bucket's content, so equal in all documents without a
+sort of all suffixes, of which the corpus has as many as bytes.
 
-1. anchors, by the identifier of all the strings that they stand for, from the first one's start to the last one's end;
-2. blocks of BLOCK strings beside an anchor, whose buckets are their common bytes, by the identifier of all their bytes;
-3. single strings.
+Suffixes are sampled for the rounds that need the whole corpus: in every string the leftmost least q-byte identifier is
+its anchor, a choice that equal strings share. Rows are sorted and grouped by the anchors' identifiers; an anchor alone
+in its bucket is unique, and so are all strings it stands for. The others are refined, by the same step each time:
+
+1. anchors, by identifiers at the offsets that cover all the strings that they stand for;
+2. blocks of BLOCK strings beside an anchor, likewise, in buckets of the bytes that those strings share;
+3. single strings, by those at s and s + q, and an independent second hash.
 
 Members of a bucket that stays shared have all their strings repeated, and one of them remains as the bucket's witness;
 only members that are alone in a bucket of several, and witnesses of those, go on to the next step.
 
-Sorting and grouping by identifiers are Spark's: aggregated before the shuffle, with no bucket collected anywhere.
+Sorting and grouping by identifiers are Spark's: aggregated before the shuffle and written, so that the joins by which
+members are found again split where a bucket is hot. What is collected is one document's own places.
 """
 
 from __future__ import annotations
@@ -24,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Sequence, arrow_pass, discard, doc_id_of, keyed, mix, signed, stage, table
-from .word_dedup import _listed, _of, _rows
+from .word_dedup import _TH, _listed, _of, _rows
 
 LENGTH = 200
 #: Strings of a block; texts are shorter than 4 GB / BLOCK.
 BLOCK = 8
 _CHUNK = 1 << 20
-_LETTERS = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LETTERS, _OTHERS = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,11 +51,23 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Strings:
-    """Anchors of all strings of 2q bytes of a text, in pieces of bounded size."""
+    """Bucket identifiers of the suffixes of a text, and the anchors of its strings of 2q bytes."""
 
     def __init__(self, text: bytes, q: int):
-        self.n, self.q = len(text), q
-        self.sequence = Sequence(_LETTERS[np.frombuffer(text, np.uint8)])
+        self.text, self.n, self.q = text, len(text), q
+        parts = [self._refine(low) for low in range(0, max(self.n - q + 1, 0), _CHUNK)]
+        #: Of each suffix, the bucket of its first q bytes.
+        self.bucket = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+    def _refine(self, low: int) -> np.ndarray:
+        """Identifiers of q bytes from those of shorter grams, for a piece of bounded size."""
+        q, gram = self.q, -(-self.q // 4)
+        data = np.frombuffer(self.text, np.uint8)[low : low + _CHUNK + q - 1]
+        own, width = Sequence(_LETTERS[data]).windows(gram), gram
+        while width < q:
+            step = min(width, q - width)
+            own, width = _pair(own[: len(own) - step], own[step:]), width + step
+        return own
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, first string, end of strings) of each anchor."""
@@ -58,7 +76,7 @@ class Strings:
         for low in range(0, max(total, 0), _CHUNK):
             high = min(low + _CHUNK, total)
             at = np.arange(low, high + q)
-            ranks = mix(self.sequence.hashes(at, at + q) ^ np.uint64(0x5851F42D4C957F2D))
+            ranks = mix(self.bucket[low : high + q] ^ np.uint64(0x5851F42D4C957F2D))
             ranked = (ranks >> np.uint64(24) << np.uint64(24)) | np.arange(len(at), dtype=np.uint64)
             of = (_least(ranked, q + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -70,17 +88,29 @@ class Strings:
         return places[new], first[new], np.append(end[new[1:] - 1], end[-1])
 
     def keys(self, places: np.ndarray) -> np.ndarray:
-        return self.sequence.hashes(places, places + self.q)
+        return self.bucket[places]
+
+    def over(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The identifier of [start, end), of q to 3q bytes, by the buckets at the offsets that cover it."""
+        second = np.minimum(start + self.q, end - self.q)
+        return _pair(_pair(self.bucket[start], self.bucket[second]), self.bucket[end - self.q])
 
     def spans(self, places: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Identifier of all bytes of the strings that an anchor stands for, with their place around it."""
         around = ((places - first) << 32 | (end - first)).astype(np.uint64)
-        return mix(self.sequence.hashes(first, end - 1 + 2 * self.q) ^ mix(around))
+        return mix(self.over(first, end - 1 + 2 * self.q) ^ mix(around))
 
     def names(self, starts: np.ndarray) -> np.ndarray:
-        """The pair of bucket identifiers at s and s + q, as one."""
-        q = self.q
-        return mix(self.sequence.hashes(starts, starts + q) ^ mix(self.sequence.hashes(starts + q, starts + 2 * q) + np.uint64(1)))
+        return _pair(self.bucket[starts], self.bucket[starts + self.q])
+
+    def checks(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the strings that no bucket has a part in."""
+        return Sequence(_OTHERS[np.frombuffer(self.text, np.uint8)]).hashes(starts, starts + 2 * self.q)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bucket identifier of what has a, and b at the later offset."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x2545F4914F6CDD1D)))
 
 
 def _anchors(docs: DataFrame, q: int) -> DataFrame:
@@ -140,9 +170,9 @@ def _blocks(listed: DataFrame, q: int) -> DataFrame:
             j, of = _ranges(low, high + 1), np.repeat(np.arange(len(at)), high - low + 1)
             start, stop = np.maximum(at[of] - j * BLOCK - BLOCK + 1, first[of]), np.minimum(at[of] - j * BLOCK + 1, end[of])
             core = at[of] - j * BLOCK
-            hashes, around = strings.sequence.hashes, (j << 40 | (at[of] - start) << 20 | (at[of] - stop)).astype(np.uint64)
-            whole.append(signed(mix(hashes(start, stop - 1 + 2 * q) ^ mix(around))))
-            return mix(hashes(core, core + 2 * q - BLOCK + 1) ^ mix(j.astype(np.uint64))), start * BLOCK + (stop - start - 1)
+            around = (j << 40 | (at[of] - start) << 20 | (at[of] - stop)).astype(np.uint64)
+            whole.append(signed(mix(strings.over(start, stop - 1 + 2 * q) ^ mix(around))))
+            return mix(strings.over(core, core + 2 * q - BLOCK + 1) ^ mix(j.astype(np.uint64))), start * BLOCK + (stop - start - 1)
 
         key, ords, loc = _rows(batch, make)
         return {"k": key, "c": np.concatenate(whole) if whole else [], "ord": ords, "loc": loc}
@@ -154,50 +184,54 @@ def _names(listed: DataFrame, q: int) -> DataFrame:
     """Of the blocks listed: the identifiers of their strings."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text")
+        texts, checks = batch.column("text"), []
 
         def make(i: int):
             blocks = _of(batch, i)
             if not len(blocks):
                 return None
             strings, starts = Strings(texts[i].as_py(), q), _block_strings(blocks)
+            checks.append(signed(strings.checks(starts)))
             return strings.names(starts), starts
 
         key, ords, loc = _rows(batch, make)
-        return {"w": key, "ord": ords, "loc": loc}
+        return {"w": key, "v": np.concatenate(checks) if checks else [], "ord": ords, "loc": loc}
 
-    return arrow_pass(listed, run, "w long, ord long, loc long")
+    return arrow_pass(listed, run, "w long, v long, ord long, loc long")
 
 
 def _refined(rows: DataFrame) -> DataFrame:
-    """One refinement of buckets k by c: (ord, whole, locs), the members that are repeated whole, and those to refine on."""
-    shared = rows.groupBy("k").count().filter("count > 1").select("k")
+    """One refinement of buckets k by c: (ord, th, whole, locs), the members that are repeated whole, and those to refine
+    on."""
+    shared = stage(rows.groupBy("k").count().filter("count > 1").select("k"))
     members = stage(rows.join(shared, "k"))
-    buckets = members.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "loc")).alias("witness"))
-    mixed = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k", F.lit(True).alias("mixed"))
-    state = members.join(mixed, "k", "left").join(buckets, ["k", "c"])
+    buckets = stage(members.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "loc")).alias("witness")))
+    mixed = stage(buckets.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k", F.lit(True).alias("mixed")))
+    named = stage(buckets.join(mixed, "k", "left"))
     # A bucket's witness stands for all its members; one that is alone is its own.
     witness = F.col("mixed") & (F.col("ord") == F.col("witness.ord")) & (F.col("loc") == F.col("witness.loc"))
-    found = state.groupBy("ord").agg(
-        F.collect_list(F.when(F.col("n") > 1, F.col("loc"))).alias("whole"), F.collect_list(F.when(witness, F.col("loc"))).alias("locs")
-    )
+    found = members.join(named, ["k", "c"]).withColumn("stays", witness).selectExpr("ord", _TH, "loc", "n", "stays").groupBy("ord", "th").agg(
+        F.collect_set(F.when(F.col("n") > 1, F.col("loc"))).alias("whole"), F.collect_set(F.when(F.col("stays"), F.col("loc"))).alias("locs")
+    )
     found = stage(found.filter("size(whole) + size(locs) > 0"))
-    discard(members)
+    discard(shared, members, buckets, mixed, named)
     return found
 
 
 def repeated(docs: DataFrame, q: int) -> DataFrame:
-    """(ord, whole, blocks, locs): each document's anchors and blocks all of whose strings, and the single strings, that
-    are repeated."""
-    further = lambda found: docs.join(found.filter("size(locs) > 0").select("ord", "locs"), "ord")
+    """(ord, th, whole, blocks, locs): each document's anchors and blocks all of whose strings, and the single strings,
+    that are repeated."""
+    key = ["ord", "th"]
+    further = lambda found: docs.join(found.filter("size(locs) > 0").select(*key, "locs"), key)
     anchors = _refined(_anchors(docs, q))
     rows = stage(_blocks(further(anchors), q))
     blocks = _refined(rows)
     discard(rows)
     names = stage(_names(further(blocks), q))
-    twice = names.groupBy("w").count().filter("count > 1").select("w")
-    single = _listed(names.join(twice, "w").select("ord", "loc"))
-    return anchors.select("ord", "whole").join(blocks.select("ord", F.col("whole").alias("blocks")), "ord", "full").join(single, "ord", "full")
+    twice = stage(names.groupBy("w", "v").count().filter("count > 1").select("w", "v"))
+    single = stage(_listed(names.join(twice, ["w", "v"]).select("ord", "loc")))
+    discard(names, twice)
+    return anchors.select(*key, "whole").join(blocks.select(*key, F.col("whole").alias("blocks")), key, "full").join(single, key, "full")
 
 
 def dedup(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGTH) -> DataFrame:
@@ -211,7 +245,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
         raise ValueError(f"length must be even, {2 * BLOCK} or more")
     q = length // 2
     own = keyed(docs, id_col, text_col)
-    joined = own.join(repeated(own, q), "ord", "left").select("ord", "th", "text", "whole", "blocks", "locs")
+    joined = own.join(repeated(own, q), ["ord", "th"], "left").select("ord", "th", "text", "whole", "blocks", "locs")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = []
@@ -228,9 +262,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
             edges = [0, *[x for s in spans for x in s], len(text)]
             kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
             out.append((len(text), spans, kept))
-        return {"ord": batch.column("ord"), "n_bytes": [x[0] for x in out], "spans": [[list(s) for s in x[1]] for x in out], "kept": [x[2] for x in out]}
+        return {"ord": batch.column("ord"), "th": batch.column("th"), "n_bytes": [x[0] for x in out], "spans": [[list(s) for s in x[1]] for x in out], "kept": [x[2] for x in out]}
 
-    done = arrow_pass(joined, run, "ord long, n_bytes long, spans array<array<long>>, kept binary")
+    done = arrow_pass(joined, run, "ord long, th long, n_bytes long, spans array<array<long>>, kept binary")
     return done.select(doc_id_of().alias("doc_id"), "n_bytes", "spans", "kept")
 
 
