@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, doc_id_of, keyed, shingles, table, word_values
+from .common import arrow_pass, doc_id_of, enter, keyed, shingles, table, word_values
 
 K, SHINGLE, BITS = 128, 5, 48
 
@@ -106,33 +107,36 @@ def merged(prints: DataFrame, key: str, fingerprint_col: str = "fingerprint", k:
 def _neighbours(own: DataFrame) -> DataFrame:
     """Each row in its bucket of consecutive documents, and behind each bucket the next one's first document.
 
-    Buckets are cut at quantiles of doc_id, one a shuffle partition; their least doc_ids, one number a bucket, are all
-    that the driver sees.
+    Buckets are cut at quantiles of doc_id, one a shuffle partition, and rows without a doc_id, which come last, by the
+    first bits of their texts' hashes; the least document of each bucket is all that the driver sees.
     """
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = own.select("ord")
-    cuts = sorted(set(ids.approxQuantile("ord", [i / n for i in range(1, n)], 0.2 / n)))
+    cuts = sorted(set(own.filter("th >= 0").approxQuantile("ord", [i / n for i in range(1, n)], 0.2 / n)))
     bounds = np.array(cuts, np.float64)
 
-    def bucket(ords: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bounds, ords.astype(np.float64), side="left").astype(np.int32)
+    def bucket(ords: np.ndarray, ths: np.ndarray) -> np.ndarray:
+        known = np.searchsorted(bounds, ords.astype(np.float64), side="left")
+        return np.where(ths >= 0, known, len(bounds) + 1 + (ords >> 58) + 32).astype(np.int32)
 
     def number(batch: pa.RecordBatch) -> dict:
-        return {"ord": batch.column("ord"), "bucket": bucket(batch.column("ord").to_numpy())}
+        ords, ths = batch.column("ord"), batch.column("th")
+        return {"ord": ords, "th": ths, "bucket": bucket(ords.to_numpy(), ths.to_numpy())}
 
-    least = arrow_pass(ids, number, "ord long, bucket int").groupBy("bucket").agg(F.min("ord").alias("ord")).orderBy("bucket").collect()
-    before = {b.ord: a.bucket for a, b in zip(least, least[1:] + least[:1])}
+    numbered = arrow_pass(own.select("ord", "th"), number, "ord long, th long, bucket int")
+    least = numbered.groupBy("bucket").agg(F.min(F.struct("ord", "th")).alias("first")).orderBy("bucket").collect()
+    before = {tuple(b.first): a.bucket for a, b in zip(least, least[1:] + least[:1])}
 
     def place(batch: pa.RecordBatch) -> dict:
-        ords = batch.column("ord").to_numpy()
-        guests = np.flatnonzero(np.isin(ords, list(before)))
+        ords, ths = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
+        some = np.flatnonzero(np.isin(ords, [o for o, _ in before]))
+        guests = np.array([i for i in some.tolist() if (ords[i], ths[i]) in before], np.int64)
         take = pa.array(np.concatenate([np.arange(len(ords)), guests]))
         both = batch.take(take)
-        of = np.concatenate([bucket(ords), np.array([before[o] for o in ords[guests].tolist()], np.int32)])
+        of = np.concatenate([bucket(ords, ths), np.array([before[ords[i], ths[i]] for i in guests.tolist()], np.int32)])
         return {c: both.column(c) for c in ("ord", "th", "text")} | {"bucket": of, "guest": np.arange(len(of)) >= len(ords)}
 
     placed = arrow_pass(own, place, "ord long, th long, text binary, bucket int, guest boolean")
-    return placed.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "ord", "th")
+    return placed.repartitionById(n, "bucket").sortWithinPartitions("bucket", "guest", "ord", "th")
 
 
 def edited_and_next(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, size: int = SHINGLE) -> DataFrame:
@@ -143,33 +147,34 @@ def edited_and_next(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     follow one another in order of their texts' hashes; a lone document is its own next. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    schema = "ord long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "ord long, th long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target, step = to_arrow_schema(StructType.fromDDL(schema)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(step)
         held = None
         for batch in batches:
             rows = []
-            for o, text, b, guest in zip(*(batch.column(c).to_pylist() for c in ("ord", "text", "bucket", "guest"))):
+            for o, th, text, b, guest in zip(*(batch.column(c).to_pylist() for c in ("ord", "th", "text", "bucket", "guest"))):
                 if guest and (held is None or held[0] != b):
                     continue  # a further row of the guest's doc_id
                 own = sketch(text, k, size)
                 if held is not None and held[0] == b:
-                    _, ord_, before, old = held
+                    _, key, before, old = held
                     chars = before.decode("utf-8", "replace")
                     cut = len(chars) // 4
                     edited = (chars[: len(chars) - cut] + text.decode("utf-8", "replace")[:cut]).encode()
                     new = sketch(edited, k, size)
-                    rows.append((ord_, len(chars), hashlib.sha256(edited).hexdigest(), pack(old), pack(new), resemblance(old, new, k), resemblance(old, own, k)))
-                held = None if guest else (b, o, text, own)
+                    rows.append((*key, len(chars), hashlib.sha256(edited).hexdigest(), pack(old), pack(new), resemblance(old, new, k), resemblance(old, own, k)))
+                held = None if guest else (b, (o, th), text, own)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), target)], schema=target)
 
     done = _neighbours(keyed(docs, id_col, text_col)).mapInArrow(run, schema)
-    return done.select(doc_id_of().alias("doc_id"), *done.columns[1:])
+    return done.select(doc_id_of().alias("doc_id"), *done.columns[2:])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
