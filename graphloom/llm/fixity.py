@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import discard, stage, table
 
+#: Children of a node at most, a power of 2 (and one more at 0, see parent_of).
 FAN = 64
+#: The leaf of rows without an id: below all others.
+NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -41,17 +44,24 @@ def parse_records(data: bytes) -> list[tuple[dict[str, str], int, int, bytes]]:
     return out
 
 
+def parent_of(node: str) -> Column:
+    """The range that a node is in. Going up, all numbers end at 0, those below 0 by way of -1: the range of 0 begins
+    with -1, that of -1 ends with -2."""
+    return F.when(F.col(node) == -1, F.lit(0)).otherwise(F.shiftright(node, FAN.bit_length() - 1))
+
+
 def leaves(records: DataFrame, id_col: str, record: Column) -> DataFrame:
-    """(node, id, n, length, hash): a leaf for each id. Rows of one id are one leaf, their hashes in order; a null id
-    is the leaf below all others. Equal rows of a hot id are counted before the shuffle."""
-    rows = records.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.sha2(record, 256).alias("hash"), F.octet_length(record).cast("long").alias("length"))
-    alike = rows.groupBy("id", "hash", "length").agg(F.count(F.lit(1)).alias("n"))
-    own = alike.groupBy("id").agg(
+    """(parent, node, n, length, hash): a leaf for each id. Rows of one id are one leaf, their hashes in order; a null id
+    is the leaf below all others, for which the least 64-bit number stands. Equal rows of a hot id are counted before
+    the shuffle."""
+    rows = records.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("node"), F.sha2(record, 256).alias("hash"), F.octet_length(record).cast("long").alias("length"))
+    alike = rows.groupBy("node", "hash", "length").agg(F.count(F.lit(1)).alias("n"))
+    own = alike.groupBy("node").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("length"), F.count(F.lit(1)).alias("kinds"), F.min("hash").alias("only"), F.min("n").alias("times"),
         F.bit_xor(F.xxhash64("hash", "n")).alias("x"), F.sum(F.xxhash64(F.lit(1), "hash", "n").cast("decimal(38,0)")).alias("s"),
     )
     several = F.sha2(F.concat_ws(":", F.lit("set"), F.col("only"), "kinds", "n", "x", "s").cast("binary"), 256)
-    return own.select(F.floor((F.col("id") + 1) / FAN).alias("parent"), (F.col("id") + 1).alias("node"), "n", "length", F.when((F.col("kinds") == 1) & (F.col("times") == 1), F.col("only")).otherwise(several).alias("hash"))
+    return own.select(parent_of("node").alias("parent"), "node", "n", "length", F.when((F.col("kinds") == 1) & (F.col("times") == 1), F.col("only")).otherwise(several).alias("hash"))
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -62,20 +72,21 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
             F.sum("n").alias("n"), F.sum("length").alias("length"),
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: F.concat(c["node"].cast("string"), F.lit("="), c["hash"])), ";").cast("binary"), 256).alias("hash"),
         )
-        levels.append(stage(own.select(F.floor(F.col("node") / FAN).alias("parent"), "node", "n", "length", "hash")))
+        levels.append(stage(own.select(parent_of("node").alias("parent"), "node", "n", "length", "hash")))
     return levels
 
 
-def audit(own: DataFrame, replica: DataFrame) -> DataFrame:
-    """(node, status) of the leaves that differ: corrupt, missing (in the replica) or extra (only in the replica).
+def audit(own: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
+    """(node, status) of the leaves that differ between two trees: corrupt, missing (in the replica) or extra (only in
+    the replica).
 
     The trees may differ in height; the lower one's root is then carried up unchanged.
     """
-    a, b = tree(own), tree(replica)
+    a, b = list(own), list(replica)
     for x in (a, b):
         while len(x) < max(len(a), len(b)):
-            up = x[-1].select(F.floor(F.col("node") / FAN).alias("node"), "n", "length", "hash")
-            x.append(up.select(F.floor(F.col("node") / FAN).alias("parent"), "node", "n", "length", "hash"))
+            up = x[-1].select(parent_of("node").alias("node"), "n", "length", "hash")
+            x.append(up.select(parent_of("node").alias("parent"), "node", "n", "length", "hash"))
     suspects = None
     for x, y in zip(reversed(a), reversed(b)):
         if suspects is not None:
@@ -110,13 +121,14 @@ def fixity_report(records: DataFrame, replica: DataFrame, id_col: str, record: C
     of the record expressions are read.
     """
     own = tree(leaves(records, id_col, record))
-    other = leaves(replica, id_col, record if replica_record is None else replica_record)
-    bad = audit(own[0], other)
+    other = tree(leaves(replica, id_col, record if replica_record is None else replica_record))
+    bad = audit(own, other)
+    discard(*other)
     rows = own[0].join(offsets(own), "node") if len(own) > 1 else own[0].withColumn("offset", F.lit(0).cast("long"))
     rows = rows.join(bad.filter("status <> 'extra'"), "node", "left").select("node", "n", "offset", "length", "hash", F.coalesce("status", F.lit("ok")).alias("status"))
     extra = bad.filter("status = 'extra'").select("node", *[F.lit(v).cast("long").alias(c) for c, v in (("n", 0), ("offset", -1), ("length", 0))], F.lit("").alias("hash"), "status")
     return rows.unionByName(extra).select(
-        F.when(F.col("node") > 0, F.col("node") - 1).alias(id_col), F.col("n").alias("n_records"), "offset", "length", F.col("hash").alias("sha256"), "status"
+        F.when(F.col("node") != NO_ID, F.col("node")).alias(id_col), F.col("n").alias("n_records"), "offset", "length", F.col("hash").alias("sha256"), "status"
     )
 
 
