@@ -8,9 +8,11 @@ partition is tuned to it. Documents near a partition's upper bound are guests in
 exactly on their texts, and classes are the connected components of the links between different texts.
 
 Groups: equal texts are one node, aggregated before the shuffle. A band bucket of at most PAIRS nodes gives its pairs.
-Larger buckets that overlap are one group, and all texts of a group are compared exactly: dealt into blocks of about
-BLOCK, each two blocks a unit of work, which returns a row for each text instead of one for each pair. So the rows grow
-with a group's size squared over BLOCK, and the comparisons with its square.
+A larger one first gives the pairs of all its nodes with its least and its greatest one, as many as it has nodes. Most
+such buckets are copies of one text and are one class then. In the others every two texts of different classes are
+compared, and no others: the bucket is dealt into blocks of about BLOCK texts, those of a large class in blocks of
+their own, and two blocks are a unit of work, which returns the classes that it ties. So classes lose no link, and what
+a bucket costs beyond its size is the number of pairs in it that no class holds together.
 """
 
 from __future__ import annotations
@@ -102,31 +104,20 @@ def _nodes(own: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, to be checked, and groups (node, root), in which every pair is."""
+    """Distinct pairs (a, b), a < b, to be checked, and the members (key, node) of large buckets."""
     rows = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("rep")).filter("c > 1")
+    buckets = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("c > 1"))
     members = stage(rows.join(buckets, "key"))
-    groups = _groups(members.filter(F.col("c") > PAIRS))
     few = members.filter(F.col("c") <= PAIRS).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("ns"))
     first = few.select("ns", F.posexplode("ns").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.expr(f"slice(ns, i + 2, {PAIRS})")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("buckets"))
-    # What a group compares is not a pair as well: every link is counted once.
-    for x in "ab":
-        pairs = pairs.join(groups.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
-    return stage(pairs.filter("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")), groups
+    pairs = first.select("a", F.explode(F.expr(f"slice(ns, i + 2, {PAIRS})")).alias("b"))
+    large = members.filter(F.col("c") > PAIRS)
+    stars = large.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p"))
+    return stage(pairs.unionByName(stars.select("p.a", "p.b").filter("a < b")).distinct()), large.select("key", "node")
 
 
-def _groups(many: DataFrame) -> DataFrame:
-    """(node, root) of the members of large buckets, root the least of all that overlapping buckets tie."""
-    ties = stage(many.filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
-    if ties.isEmpty():
-        return ties.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    tied = components(ties)
-    return stage(tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct()))
-
-
-def _texts(own: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("ord")).unionByName(groups.select(F.col("node").alias("ord"))).distinct()
+def _texts(own: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("ord")).unionByName(large.select(F.col("node").alias("ord"))).distinct())
     # Merged at any size: whether the ids could be broadcast depends on the corpus, and so would the plan.
     return stage(own.join(wanted.hint("merge"), "ord", "left_semi").groupBy("ord").agg(F.min("text").alias("text")))
 
@@ -176,34 +167,44 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def _inside(texts: DataFrame, groups: DataFrame, size: int, similarity: float) -> DataFrame:
-    """For every two blocks of a group, the texts that have links between them (or in a block, if it is paired with
-    itself): node, root (the least text that those links tie it to), n (its links)."""
-    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
-    dealt = groups.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), "k"))
-    units = dealt.select("root", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    units = units.select("root", "node", "own", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"))
-    rows = units.join(texts.withColumnRenamed("ord", "node"), "node")
+def _split_buckets(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the large buckets that hold several classes; of buckets with the same members one."""
+    named = stage(large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    sums = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"s{i}") for i in range(2)]
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *sums).filter("lo <> hi")
+    chosen = stage(several.groupBy("s0", "s1").agg(F.min("key").alias("key")).select("key"))
+    return stage(named.join(chosen, "key"))
+
+
+def _ties(left: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): classes that links between texts of different classes of a bucket tie together."""
+    of_class = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    small = of_class.filter(F.col("m") < BLOCK).groupBy("key").agg(F.sum("m").alias("total"))
+    classes = stage(of_class.join(small, "key", "left"))
+    alone = F.col("m") >= BLOCK
+    block = F.when(alone, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("total") / BLOCK)))
+    dealt = stage(left.join(classes, ["key", "root"]).select("key", "node", "root", block.alias("block"), F.when(alone, F.col("root")).alias("of")))
+    blocks = stage(dealt.groupBy("key", "block", "of").agg(F.count(F.lit(1)).alias("n")))
+    one = blocks.select("key", F.col("block").alias("s"), F.col("of").alias("of_s"))
+    other = blocks.select("key", F.col("block").alias("t"), F.col("of").alias("of_t"))
+    # A large class is one already, so its blocks meet only those of others; a mixed block also meets itself.
+    units = one.join(other, "key").filter("s <= t AND (of_s IS NULL OR of_t IS NULL OR of_s <> of_t)").select("key", "s", "t")
+    sides = stage(units.select("key", "s", "t", F.explode(F.array_distinct(F.array("s", "t"))).alias("block")))
+    rows = sides.join(dealt.select("key", "block", "node", "root"), ["key", "block"]).join(texts.withColumnRenamed("ord", "node"), "node")
 
     def run(unit: pa.Table) -> pa.Table:
-        node = unit.column("node").to_numpy()
-        own = unit.column("own").to_numpy()
+        root, own = unit.column("root").to_numpy(), unit.column("block").to_numpy()
         sets = [shingles(_values(x), size) for x in unit.column("text").to_pylist()]
         n = np.array([len(x) for x in sets])
         ok = shared_counts(sets) >= similarity * np.maximum(n[:, None], n) - 1e-9
-        # Two different blocks meet for the links between them; a block meets itself for those inside.
-        ok &= (own[:, None] != own) if unit.column("s")[0].as_py() != unit.column("t")[0].as_py() else ~np.eye(len(n), dtype=bool)
-        degree = ok.sum(axis=1)
-        root = node.copy()
-        while True:
-            low = np.minimum(root, np.where(ok, root, np.iinfo(np.int64).max).min(axis=1))
-            if (low == root).all():
-                break
-            root = low
-        some = degree > 0
-        return pa.table({"node": node[some], "root": root[some], "n": degree[some].astype(np.int64)})
+        ok &= root[:, None] < root
+        if unit.column("s")[0].as_py() != unit.column("t")[0].as_py():
+            ok &= own[:, None] != own
+        a, b = np.nonzero(ok)
+        found = np.unique(np.stack([root[a], root[b]], axis=1), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return stage(rows.groupBy("root", "s", "t").applyInArrow(run, "node long, root long, n long"))
+    return stage(rows.groupBy("key", "s", "t").applyInArrow(run, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,8 +225,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of its class), n_links (near-duplicate texts of its own
-    text, not counting equal ones), n_copies (rows with its text).
+    """One row per row of docs: doc_id, class_id (least doc_id of its class), n_copies (rows with its text).
 
     Words are white-space words with A-Z lower-cased; a text of fewer than `size` words is one shingle; null or empty
     texts are equal to one another and near nothing else. Rows that share a doc_id share a class. Rows with a null
@@ -235,17 +235,19 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     read = docs.select(F.col(id_col).cast("long").alias("ord"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.cast("binary").alias("text"))
     own = read.filter("ord IS NOT NULL")
     nodes = _nodes(own, size, similarity)
-    pairs, groups = _candidates(nodes)
-    texts = _texts(own.select("ord", "text"), pairs, groups)
-    links, inside = _links(texts, pairs, size, similarity), _inside(texts, groups, size, similarity)
-    roots = components(_bound(nodes, own, links.unionByName(inside.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")))))
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
-    degrees = ends.unionByName(inside.select("node", "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
-    names = nodes.select("h1", "h2", "node", "copies").join(roots, "node", "left").join(degrees, "node", "left")
-    names = names.select("h1", "h2", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
-    done = own.select("ord", "h1", "h2").join(names, ["h1", "h2"])
-    lone = read.filter("ord IS NULL").select(F.col("ord").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return done.select(F.col("ord").alias("doc_id"), "class_id", "n_links", "n_copies").unionByName(lone)
+    pairs, large = _candidates(nodes)
+    texts = _texts(own.select("ord", "text"), pairs, large)
+    roots = components(_bound(nodes, own, _links(texts, pairs, size, similarity)))
+    left = _split_buckets(large, roots)
+    if not left.isEmpty():
+        ties = _ties(left, texts, size, similarity)
+        higher = components(ties).select(F.col("node").alias("low"), F.col("root").alias("top"))
+        every = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("low"))
+        roots = stage(every.join(higher, "low", "left").select("node", F.coalesce("top", "low").alias("root")).filter("node <> root"))
+    names = nodes.select("h1", "h2", "node", "copies").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class_id"), F.col("copies").alias("n_copies"))
+    done = own.select("ord", "h1", "h2").join(stage(names), ["h1", "h2"])
+    lone = read.filter("ord IS NULL").select(F.col("ord").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return done.select(F.col("ord").alias("doc_id"), "class_id", "n_copies").unionByName(lone)
 
 
 def _bound(nodes: DataFrame, own: DataFrame, links: DataFrame) -> DataFrame:
