@@ -1,26 +1,36 @@
 """Operator 7: benchmark decontamination over a distributed positional inverted index.
 
-The index is sharded by document: every Arrow batch of the corpus is a shard that holds, for each term of the current
-block of test items, the sorted list of the term's positions. Each phrase intersects the offset-adjusted lists of its
-terms, the shard's rarest term first, so that nothing but test terms is indexed and nothing is shuffled.
-Test items are a stated query set: they go to the executors in blocks of BLOCK_WORDS words, one narrow pass a block.
+The index stores the postings of every word of the corpus once. It is sharded by document, as search engines do it: a
+segment holds some whole documents' postings, which for each term are the sorted positions at which it stands. Sharding
+by term would give one task all postings of a frequent word, and a shuffle to every further term of a phrase.
+
+All phrases of test items are looked up in a segment together. Each begins with the positions of its rarest term there,
+and keeps those whose offset-adjusted position is in the list of its next rarest term, and so on. Proximity matches
+extend each occurrence of the rarest term to the nearest ones of the others. Test items are a stated query set: they
+go to the executors in blocks of BLOCK_WORDS words, one pass over the index a block, and what the passes find for a
+row of the corpus is merged by its place in the index.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, table
+from .common import arrow_pass, discard, stage, table
 
 WINDOW = 10
 #: Words of test items that go to the executors at a time (a few MB).
 BLOCK_WORDS = 400_000
+#: Words of a segment of the index; a longer document is one on its own.
+SEGMENT_WORDS = 1 << 20
+#: Positions of rarest terms that are followed up at a time.
+_CANDIDATES = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -29,78 +39,183 @@ def fold_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-class Phrases:
-    """Distinct phrases of a block of items, as arrays of term numbers, with the items that contain each."""
-
-    def __init__(self, items: list[tuple[object, bytes]], window: int):
-        self.terms: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in fold_words(text)]
-            for s in range(max(1, len(ids) - window + 1)) if ids else ():
-                owners[tuple(ids[s : s + window])].add(item)
-        self.phrases = list(owners)
-        self.owners = list(owners.values())
-
-
-class Shard:
-    """Positional postings of the test terms in some documents' words; a gap between documents stops phrases."""
-
-    def __init__(self, docs: list[list[bytes]], terms: dict[bytes, int], gap: int = 1):
-        self.lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths + gap)])[: len(docs)].astype(np.int64)
-        total = int((self.lengths + gap).sum())
-        get, found = terms.get, np.full(total, -1, np.int64)
-        for at, words in zip(self.starts.tolist(), docs):
-            if words:
-                found[at : at + len(words)] = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        order = np.argsort(found, kind="stable")
-        self.bounds = np.searchsorted(found[order], np.arange(len(terms) + 1))
-        self.order, self.total = order, total
+def _folded(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and the number of each text's."""
+    texts = pc.fill_null(texts, b"")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[at[0] : at[-1]]
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(bytes(data).translate(_FOLD))))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # not those before a leading space and behind a last one
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return words.filter(real), np.diff(before[ends])
+
+
+def _segments(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """[first, end) of the documents of each segment."""
+    first, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > first and size + n > most:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(lengths):
+        yield first, len(lengths)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte plane by byte plane, which compresses well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+class Segment:
+    """Positional postings of some documents; a free position behind each document stops phrases."""
+
+    def __init__(self, lengths: np.ndarray, terms: pa.Array, counts: np.ndarray, keys: np.ndarray):
+        self.lengths, self.terms, self.counts, self.keys = lengths, terms, counts, keys
+        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
+        self.bits = _bits(self.starts[-1])
+
+    @classmethod
+    def build(cls, words: pa.Array, lengths: np.ndarray) -> Segment:
+        """words: those of the documents one after another, lengths[i] of document i."""
+        coded = words.dictionary_encode()
+        at = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
+        bits = _bits(len(words) + len(lengths))
+        keys = np.sort(coded.indices.to_numpy().astype(np.int64) << bits | at)
+        return cls(lengths, coded.dictionary.cast(pa.binary()), np.bincount(keys >> bits, minlength=len(coded.dictionary)), keys)
+
+    def packed(self) -> bytes:
+        """All postings, each list as its first position and the steps from there."""
+        at = self.keys & ((1 << self.bits) - 1)
+        steps = np.diff(at, prepend=0)
+        steps[self.bounds[:-1]] = at[self.bounds[:-1]]
+        return _pack(steps)
+
+    @classmethod
+    def unpack(cls, lengths: np.ndarray, terms: pa.Array, counts: np.ndarray, packed: bytes) -> Segment:
+        steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        total = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+        first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        at = total[1:] - np.repeat(total[first], counts)
+        bits = _bits(int(lengths.sum()) + len(lengths))
+        return cls(lengths, terms, counts, np.repeat(np.arange(len(counts)), counts) << bits | at)
 
     def postings(self, term: int) -> np.ndarray:
-        return self.order[self.bounds[term] : self.bounds[term + 1]]
-
-    def phrase(self, ids: tuple[int, ...]) -> np.ndarray:
-        """Starts of exact occurrences: offset-adjusted lists, from the rarest term."""
-        sizes = self.bounds[1:][list(ids)] - self.bounds[list(ids)]
-        order = np.argsort(sizes, kind="stable")
-        if not sizes[order[0]]:
-            return np.empty(0, np.int64)
-        starts = self.postings(ids[order[0]]) - order[0]
-        for o in order[1:].tolist():
-            listed = self.postings(ids[o])
-            at = np.searchsorted(listed, starts + o)
-            ok = at < len(listed)
-            ok[ok] = listed[at[ok]] == starts[ok] + o
-            starts = starts[ok]
-            if not len(starts):
-                break
-        return starts
-
-    def near(self, ids: tuple[int, ...], slop: int) -> list[tuple[int, int]]:
-        """(first, last) position of each match with the terms in order and at most slop other words between them.
+        """Positions of a term, ascending; none for -1."""
+        return self.keys[self.bounds[term] : self.bounds[term + 1]] & ((1 << self.bits) - 1) if term >= 0 else np.empty(0, np.int64)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The words' term numbers here, -1 for those that do not occur."""
+        return pc.fill_null(pc.index_in(words, value_set=self.terms), -1).to_numpy().astype(np.int64)
+
+    def phrases(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of all exact occurrences. ids: phrases x words, as term numbers; sizes: words of each."""
+        here = np.arange(ids.shape[1]) < sizes[:, None]
+        count = np.where(here, np.where(ids >= 0, self.counts[ids] if len(self.counts) else 0, 0), np.iinfo(np.int64).max)
+        order = np.argsort(count, axis=1, kind="stable")  # offsets, from the rarest term's
+        rare = count.min(axis=1, initial=np.iinfo(np.int64).max)
+        some = np.flatnonzero((rare > 0) & (sizes > 0))
+        parts = [(np.empty(0, np.int64),) * 2]
+        for own in np.split(some, np.flatnonzero(np.diff(np.cumsum(rare[some]) // _CANDIDATES)) + 1):
+            parts.append(self._intersect(ids, sizes, order, own, rare[own]))
+        phrase, start = map(np.concatenate, zip(*parts))
+        return phrase, start
+
+    def _intersect(self, ids: np.ndarray, sizes: np.ndarray, order: np.ndarray, some: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the phrases `some`: the positions of the rarest term, then those in all further lists."""
+        lead = ids[some, order[some, 0]]
+        phrase = np.repeat(some, rare)
+        within = np.arange(len(phrase)) - np.repeat(np.cumsum(rare) - rare, rare)
+        start = (self.keys[np.repeat(self.bounds[lead], rare) + within] & ((1 << self.bits) - 1)) - order[phrase, 0]
+        keep = start >= 0
+        phrase, start = phrase[keep], start[keep]
+        for step in range(1, ids.shape[1]):
+            offset = order[phrase, step]
+            place = start + offset
+            wanted = ids[phrase, offset] << self.bits | place
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            ok = (step >= sizes[phrase]) | (place < self.starts[-1]) & (self.keys[at] == wanted)
+            phrase, start = phrase[ok], start[ok]
+        return phrase, start
+
+    def near(self, ids: list[int], slop: int) -> list[tuple[int, int, int]]:
+        """(document, first, last) of each match with the terms in order and at most slop other words between them.
 
         Every occurrence of the rarest term is extended to the nearest earlier terms on its left and the nearest later
         ones on its right, which gives the shortest such span around it.
         """
         lists = [self.postings(t) for t in ids]
+        if not all(map(len, lists)):
+            return []
         pivot = min(range(len(ids)), key=lambda i: len(lists[i]))
-        out = set()
-        for p in lists[pivot].tolist():
-            first = last = p
-            for listed in reversed(lists[:pivot]):
-                at = bisect_left(listed, first) - 1
-                first = listed[at] if at >= 0 else -(10**15)
-            for listed in lists[pivot + 1 :]:
-                at = bisect_left(listed, last + 1)
-                last = listed[at] if at < len(listed) else 10**15
-            if last - first + 1 - len(ids) <= slop:
-                out.add((int(first), int(last)))
-        return sorted(out)
-
-
-def _blocks(items: DataFrame, item_col: str, text_col: str):
+        first = last = lists[pivot]
+        for listed in reversed(lists[:pivot]):
+            at = np.searchsorted(listed, first) - 1
+            first = np.where(at >= 0, listed[at], -(1 << 40))
+        for listed in lists[pivot + 1 :]:
+            at = np.searchsorted(listed, last + 1)
+            last = np.where(at < len(listed), listed[np.minimum(at, len(listed) - 1)], 1 << 40)
+        doc = np.searchsorted(self.starts, lists[pivot], side="right") - 1
+        ok = (first >= self.starts[doc]) & (last < self.starts[doc + 1]) & (last - first + 1 - len(ids) <= slop)
+        return sorted(set(zip(doc[ok].tolist(), (first - self.starts[doc])[ok].tolist(), (last - self.starts[doc])[ok].tolist())))
+
+
+def _bits(positions: int) -> int:
+    return max(1, int(positions).bit_length())
+
+
+def positional_index(docs: DataFrame, id_col="doc_id", text_col="text", segment_words: int | None = None) -> DataFrame:
+    """The index, written to the shared folder: a row a segment, with segment (its number), ids and lengths of its
+    documents, terms, counts (of each term's positions) and postings. Null texts have no words; only the named columns
+    are read."""
+    most = segment_words or SEGMENT_WORDS
+
+    def run(batch: pa.RecordBatch) -> dict:
+        words, lengths = _folded(batch.column("text"))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = batch.column("doc_id").to_pylist()
+        out = defaultdict(list)
+        for first, end in _segments(lengths, most):
+            own = Segment.build(words.slice(ends[first], ends[end] - ends[first]), lengths[first:end])
+            row = {"ids": ids[first:end], "lengths": own.lengths, "terms": own.terms, "counts": own.counts, "postings": own.packed()}
+            for k, v in row.items():
+                out[k].append(v)
+        return out | {"terms": pa.array([t.to_pylist() for t in out["terms"]], pa.list_(pa.binary()))}
+
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    built = arrow_pass(read, run, "ids array<long>, lengths array<long>, terms array<binary>, counts array<long>, postings binary")
+    return stage(built.select(F.monotonically_increasing_id().alias("segment"), "*"))
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, Segment]]:
+    """(row, segment) of the segments of a batch of the index."""
+    for i in range(batch.num_rows):
+        lengths, terms, counts = (batch.column(c)[i].values for c in ("lengths", "terms", "counts"))
+        yield i, Segment.unpack(lengths.to_numpy(zero_copy_only=False), terms, counts.to_numpy(zero_copy_only=False), batch.column("postings")[i].as_py())
+
+
+class Phrases:
+    """Distinct phrases of a block of items, padded to the longest, with the items that contain each."""
+
+    def __init__(self, items: list[tuple[object, bytes]], window: int):
+        terms: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set] = defaultdict(set)
+        for item, text in items:
+            ids = [terms.setdefault(w, len(terms)) for w in fold_words(text)]
+            for s in range(max(1, len(ids) - window + 1)) if ids else ():
+                owners[tuple(ids[s : s + window])].add(str(item))
+        self.terms = pa.array(list(terms), pa.binary())
+        self.sizes = np.array(list(map(len, owners)), np.int64)
+        self.ids = np.full((len(owners), self.sizes.max(initial=0)), -1, np.int64)
+        for i, p in enumerate(owners):
+            self.ids[i, : len(p)] = p
+        self.owners = [sorted(x) for x in owners.values()]
+
+
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, bytes]]]:
     block, size = [], 0
     for item, text in items.select(item_col, F.col(text_col).cast("binary")).toLocalIterator():
         if text:
@@ -113,39 +228,43 @@ def _blocks(items: DataFrame, item_col: str, text_col: str):
         yield block
 
 
-def _hits(docs: DataFrame, block: list, window: int) -> DataFrame:
+def _hits(index: DataFrame, block: list[tuple[object, bytes]], window: int) -> DataFrame:
+    """(segment, place, items, spans) of the documents that have phrases of the block."""
+
     def scan(batch: pa.RecordBatch, cache={}) -> dict:
         if "phrases" not in cache:
             cache["phrases"] = Phrases(block, window)
-        phrases = cache["phrases"]
-        words = [fold_words(t) for t in batch.column("text").to_pylist()]
-        shard = Shard(words, phrases.terms)
-        cover, found = np.zeros(shard.total + 1, np.int64), defaultdict(set)
-        for ids, owners in zip(phrases.phrases, phrases.owners):
-            starts = shard.phrase(ids)
-            if len(starts):
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + len(ids), -1)
-                for d in np.unique(np.searchsorted(shard.starts, starts, side="right") - 1).tolist():
-                    found[d] |= owners
-        on = np.cumsum(cover[:-1]) > 0
-        hit = np.concatenate([[0], np.cumsum(on)])
-        runs = [_runs(on[s : s + n]) if d in found else [] for d, (s, n) in enumerate(zip(shard.starts, shard.lengths))]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "n_words": shard.lengths,
-            "n_hit": hit[shard.starts + shard.lengths] - hit[shard.starts] if len(words) else [],
-            "items": [sorted(map(str, found.get(d, ()))) for d in range(len(words))],
-            "spans": runs,
-        }
-
-    return arrow_pass(docs, scan, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>")
-
-
-def _runs(on: np.ndarray) -> list[list[int]]:
-    """Maximal [first, end) runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-    return edge.reshape(-1, 2).tolist()
+        phrases, out = cache["phrases"], defaultdict(list)
+        for i, own in _each(batch):
+            # One more, for the padding, that is nowhere.
+            ids = np.append(own.numbers(phrases.terms), -1)[phrases.ids]
+            phrase, start = own.phrases(ids, phrases.sizes)
+            doc = np.searchsorted(own.starts, start, side="right") - 1
+            order = np.argsort(doc, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
+                d = int(doc[rows[0]])
+                first = start[rows] - own.starts[d]
+                out["segment"].append(batch.column("segment")[i].as_py())
+                out["place"].append(d)
+                out["items"].append(sorted({x for p in np.unique(phrase[rows]).tolist() for x in phrases.owners[p]}))
+                out["spans"].append(_union(first, first + phrases.sizes[phrase[rows]]))
+        return {k: out[k] for k in ("segment", "place", "items", "spans")}
+
+    return arrow_pass(index.select("segment", "lengths", "terms", "counts", "postings"), scan, "segment long, place int, items array<string>, spans array<array<long>>")
+
+
+def _union(first: np.ndarray, end: np.ndarray) -> list[list[int]]:
+    """Maximal [first, end) runs of what the spans cover."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+    return np.stack([first[new], np.append(reach[new[1:] - 1], reach[-1])], axis=1).tolist() if len(first) else []
+
+
+def _rows(index: DataFrame) -> DataFrame:
+    """(segment, place, doc_id, n_words) of the rows of the corpus."""
+    each = index.select("segment", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "d"))
+    return each.select("segment", "place", F.col("d.ids").alias("doc_id"), F.col("d.lengths").alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window: int = WINDOW) -> DataFrame:
@@ -155,54 +274,47 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     window. Equal windows of several items count for each of them. Repeated rows get a row each. With no items at all,
     nothing is hit. Only the named columns are read, so other columns can't clash.
     """
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    parts = [_hits(read, block, window) for block in _blocks(items, item_col, item_text)] or [_hits(read, [], window)]
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: a row's findings in each are merged. Rows alike in id and number of words are told apart no further:
-    # each gets what all of them have.
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    both = rows.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.count(F.lit(1)).alias("times"))
+    index = positional_index(docs, id_col, text_col)
+    found = None
+    for block in _blocks(items, item_col, item_text):
+        own = stage(_hits(index, block, window))
+        found = own if found is None else found.unionByName(own)
+    rows = stage(_rows(index)) if found is not None else _rows(index)
+    if found is None:
+        return rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<array<long>>").alias("spans"))
+    discard(index)
+    both = found.groupBy("segment", "place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
     def merge(batch: pa.RecordBatch) -> dict:
-        merged = []
-        for n, spans in zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist()):
-            on = np.zeros(n, bool)
-            for first, end in spans:
-                on[first:end] = True
-            merged.append(_runs(on))
-        return {c: batch.column(c) for c in ("doc_id", "n_words", "items", "times")} | {"spans": merged, "n_hit": [sum(e - f for f, e in s) for s in merged]}
+        merged = [_union(*np.array(s, np.int64).reshape(-1, 2).T) for s in batch.column("spans").to_pylist()]
+        return {c: batch.column(c) for c in ("segment", "place", "items")} | {"spans": merged, "n_hit": [sum(e - f for f, e in s) for s in merged]}
 
-    done = arrow_pass(both, merge, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>, times long")
-    copies = F.sequence(F.lit(1), (F.col("times") / len(parts)).cast("int"))
-    return done.withColumn("copy", F.explode(copies)).select("doc_id", "n_words", "n_hit", "items", "spans")
+    merged = arrow_pass(both, merge, "segment long, place int, items array<string>, spans array<array<long>>, n_hit long")
+    joined = rows.join(merged, ["segment", "place"], "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("items", "array<string>"), none("spans", "array<array<long>>"))
 
 
 def proximity(docs: DataFrame, phrases: list[str], slop: int, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, phrase, first, last): the phrases' terms in order with at most slop other words between them.
 
-    phrases is a stated query set and goes to the executors whole; wordless phrases match nothing.
+    phrases is a stated query set and goes to the executors whole; wordless phrases match nothing, and a phrase that is
+    asked for twice gets its matches once.
     """
-    queries = [(p, fold_words(p.encode())) for p in phrases]
+    queries = {p: words for p in phrases if (words := fold_words(p.encode()))}
+    index = positional_index(docs, id_col, text_col)
 
     def scan(batch: pa.RecordBatch) -> dict:
-        terms: dict[bytes, int] = {}
-        ids = [(p, tuple(terms.setdefault(w, len(terms)) for w in words)) for p, words in queries if words]
-        shard = Shard([fold_words(t) for t in batch.column("text").to_pylist()], terms, gap=slop + 1)
-        rows = [(p, *m) for p, q in ids for m in shard.near(q, slop)]
-        at = np.searchsorted(shard.starts, [r[1] for r in rows], side="right") - 1 if rows else []
-        doc_ids = batch.column("doc_id").to_pylist()
-        return {
-            "doc_id": [doc_ids[d] for d in at],
-            "phrase": [r[0] for r in rows],
-            "first": [r[1] - int(shard.starts[d]) for r, d in zip(rows, at)],
-            "last": [r[2] - int(shard.starts[d]) for r, d in zip(rows, at)],
-        }
-
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return arrow_pass(read, scan, "doc_id long, phrase string, first long, last long")
+        out = defaultdict(list)
+        for i, own in _each(batch):
+            ids = batch.column("ids")[i].as_py()
+            for p, words in queries.items():
+                for d, first, last in own.near(own.numbers(pa.array(words, pa.binary())).tolist(), slop):
+                    for k, v in (("doc_id", ids[d]), ("phrase", p), ("first", first), ("last", last)):
+                        out[k].append(v)
+        return {k: out[k] for k in ("doc_id", "phrase", "first", "last")}
+
+    return arrow_pass(index.drop("segment"), scan, "doc_id long, phrase string, first long, last long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
