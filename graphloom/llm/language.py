@@ -4,6 +4,8 @@ The posterior of a document's language multiplies the likelihood of its text (by
 language that its markup declares, and a prior from its address. The prior is smoothed hierarchically, each level with
 the one above it: all documents, address suffix, domain, host. Its counts come from grouped aggregations over all
 documents, and so does the reliability of declarations. The text model is fitted on a bounded sample of labelled rows.
+Where the labels of that sample are also the declarations that are weighed, a text is judged by a model that has not seen
+it: the sample has two halves by the texts' hashes, and each half's texts are judged by the other's counts.
 """
 
 from __future__ import annotations
@@ -45,18 +47,24 @@ def trigrams(text: bytes) -> np.ndarray:
 class TextModel:
     languages: list[str]
     log_p: np.ndarray  # languages x BUCKETS
+    halves: tuple[np.ndarray, np.ndarray] | None = None  # for texts of each half, from the other half's counts
 
-    def evidence(self, text: bytes) -> np.ndarray | None:
+    def evidence(self, text: bytes, half: int | None = None) -> np.ndarray | None:
         """Log-likelihood of each language, scaled to EVIDENCE trigrams at most; None without any letter."""
         grams = trigrams(text)
         if not len(grams):
             return None
+        log_p = self.log_p if half is None or self.halves is None else self.halves[half]
         total = np.zeros(len(self.languages))
         for i in range(0, len(grams), 1 << 16):
-            total += self.log_p[:, grams[i : i + (1 << 16)]].sum(axis=1)
+            total += log_p[:, grams[i : i + (1 << 16)]].sum(axis=1)
         return total * min(1.0, EVIDENCE / len(grams))
 
 
+def half_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), text), F.lit(2)).cast("int")
+
+
 def train(docs: DataFrame, text_col="text", label_col="lang", sample: int = SAMPLE) -> TextModel:
     """Trigram counts of each label, over rows chosen by their text's hash; rows with null text or label are left out."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
@@ -65,19 +73,28 @@ def train(docs: DataFrame, text_col="text", label_col="lang", sample: int = SAMP
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
 
     def run(batch: pa.RecordBatch) -> dict:
-        sums: dict[str, np.ndarray] = {}
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            own = sums.setdefault(label, np.zeros(BUCKETS, np.int64))
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for text, label, half in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "half"))):
+            own = sums.setdefault((label, half), np.zeros(BUCKETS, np.int64))
             own += np.bincount(trigrams(text), minlength=BUCKETS)
-        cells = [(k, np.flatnonzero(v), v) for k, v in sums.items()]
-        return {"label": [k for k, at, _ in cells for _ in range(len(at))], "g": np.concatenate([at for _, at, _ in cells]), "c": np.concatenate([v[at] for _, at, v in cells])}
-
-    counts = arrow_pass(rows.select(F.col("text").cast("binary").alias("text"), "label"), run, "label string, g int, c long")
-    found = counts.groupBy("label", "g").agg(F.sum("c").alias("c")).toPandas()  # labels x BUCKETS numbers at most
+        cells = [(*k, np.flatnonzero(v), v) for k, v in sums.items()]
+        return {
+            "label": [k for k, _, at, _ in cells for _ in range(len(at))], "half": [h for _, h, at, _ in cells for _ in range(len(at))],
+            "g": np.concatenate([at for *_, at, _ in cells]), "c": np.concatenate([v[at] for *_, at, v in cells]),
+        }
+
+    counts = arrow_pass(rows.select(F.col("text").cast("binary").alias("text"), "label", half_of(F.col("text")).alias("half")), run, "label string, half int, g int, c long")
+    found = counts.groupBy("label", "half", "g").agg(F.sum("c").alias("c")).toPandas()  # 2 x labels x BUCKETS numbers at most
     languages = sorted(found["label"].unique())
-    own = np.full((len(languages), BUCKETS), 0.1)
-    own[found["label"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64, na_value=0), found["g"]] += found["c"]
-    return TextModel(languages, np.log(own / own.sum(axis=1, keepdims=True)))
+    own = np.zeros((2, len(languages), BUCKETS))
+    own[found["half"].to_numpy(np.int64, na_value=0), found["label"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64, na_value=0), found["g"]] += found["c"]
+
+    def logs(x: np.ndarray) -> np.ndarray:
+        return np.log((x + 0.1) / (x + 0.1).sum(axis=1, keepdims=True))
+
+    # A half in which a language is missing can't tell it: then all counts must do.
+    halves = tuple(logs(x if (x.sum(axis=1) > 0).all() else own.sum(axis=0)) for x in own[::-1])
+    return TextModel(languages, logs(own.sum(axis=0)), halves)
 
 
 def declared_language(html: Column) -> Column:
@@ -99,20 +116,21 @@ def address_levels(url: Column) -> dict[str, Column]:
     return {"suffix": part(1), "domain": part(2), "host": F.when(host != "", host)}
 
 
-def identify(docs: DataFrame, model: TextModel, id_col="doc_id", text_col="text", declared: Column | None = None, levels: dict[str, Column] | None = None, accept: float = ACCEPT) -> DataFrame:
+def identify(docs: DataFrame, model: TextModel, id_col="doc_id", text_col="text", declared: Column | None = None, levels: dict[str, Column] | None = None, accept: float = ACCEPT, unseen: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, th (hash of its text), text_language, declared, language, probability, accepted.
 
     declared is a column of language codes; levels are columns from the widest part of the address to the narrowest. A
     null, empty or letterless text has no text evidence: it gets the likeliest language by the rest and isn't accepted.
     Null or unknown declarations and null address parts say nothing. A model of no language accepts none. Ties go to the
-    first language in order. Repeated rows get a row each.
+    first language in order. Repeated rows get a row each. With unseen, docs may be those of the model's sample, and each
+    text is judged by the half of it that it isn't in.
     """
     levels = levels or {}
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = list(levels)
     none = F.lit(None).cast("string")
     read = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"),
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"), (half_of(text) if unseen else F.lit(None).cast("int")).alias("half"),
         (none if declared is None else declared.cast("string")).alias("declared"), *[c.cast("string").alias(f"level_{k}") for k, c in levels.items()],
     )
     languages = model.languages
@@ -121,8 +139,8 @@ def identify(docs: DataFrame, model: TextModel, id_col="doc_id", text_col="text"
         return out
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [model.evidence(t) for t in batch.column("text").to_pylist()]
-        kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+        found = [model.evidence(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
+        kept = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "half")}
         return kept | {"logs": [None if x is None else x.tolist() for x in found], "text_language": [None if x is None else languages[int(x.argmax())] for x in found]}
 
     kinds = "".join(f"level_{k} string, " for k in names)
@@ -160,7 +178,7 @@ def identify(docs: DataFrame, model: TextModel, id_col="doc_id", text_col="text"
 
 def documents_language(docs: DataFrame) -> DataFrame:
     """Documents declare their language in lang, and their source stands for the host."""
-    return identify(docs, train(docs), declared=F.col("lang"), levels={"host": F.col("source")})
+    return identify(docs, train(docs), declared=F.col("lang"), levels={"host": F.col("source")}, unseen=True)
 
 
 def pages_language(pages: DataFrame, model: TextModel) -> DataFrame:
