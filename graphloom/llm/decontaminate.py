@@ -142,10 +142,11 @@ class Segment:
         return phrase, start
 
     def near(self, ids: list[int], slop: int) -> list[tuple[int, int, int]]:
-        """(document, first, last) of each match with the terms in order and at most slop other words between them.
+        """(document, first, last) of each match with the terms in order and at most slop other words between them, and no
+        shorter match inside.
 
         Every occurrence of the rarest term is extended to the nearest earlier terms on its left and the nearest later
-        ones on its right, which gives the shortest such span around it.
+        ones on its right, which gives the shortest such span around it; those that hold another one go.
         """
         lists = [self.postings(t) for t in ids]
         if not all(map(len, lists)):
@@ -159,8 +160,13 @@ class Segment:
             at = np.searchsorted(listed, last + 1)
             last = np.where(at < len(listed), listed[np.minimum(at, len(listed) - 1)], 1 << 40)
         doc = np.searchsorted(self.starts, lists[pivot], side="right") - 1
-        ok = (first >= self.starts[doc]) & (last < self.starts[doc + 1]) & (last - first + 1 - len(ids) <= slop)
-        return sorted(set(zip(doc[ok].tolist(), (first - self.starts[doc])[ok].tolist(), (last - self.starts[doc])[ok].tolist())))
+        ok = (first >= self.starts[doc]) & (last < self.starts[doc + 1])
+        spans = np.unique(np.stack([first[ok], last[ok], doc[ok]], axis=1), axis=0)
+        # By descending start, then ascending end: a span goes if one further right ends no later.
+        spans = spans[np.lexsort((spans[:, 1], -spans[:, 0]))]
+        before = np.concatenate([[1 << 40], np.minimum.accumulate(spans[:, 1])[:-1]]) if len(spans) else np.empty(0)
+        spans = spans[(spans[:, 1] < before) & (spans[:, 1] - spans[:, 0] + 1 - len(ids) <= slop)][::-1]
+        return [(d, f - int(self.starts[d]), e - int(self.starts[d])) for f, e, d in spans.tolist()]
 
 
 def _bits(positions: int) -> int:
@@ -296,7 +302,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
 
 
 def proximity(docs: DataFrame, phrases: list[str], slop: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, phrase, first, last): the phrases' terms in order with at most slop other words between them.
+    """(doc_id, phrase, first, last): the phrases' terms in order with at most slop other words between them and no shorter
+    match inside.
 
     phrases is a stated query set and goes to the executors whole; wordless phrases match nothing, and a phrase that is
     asked for twice gets its matches once.
@@ -325,6 +332,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What the registered proximity query looks for, and how many other words may be between the terms.
+NEAR, SLOP = ("the of", "in the", "en er"), 12
+
+
+def proximity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity(table(spark, sf_dir, "documents"), list(NEAR), SLOP)
+
+
 ORACLE = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -344,3 +359,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN of_doc USING (doc_id)
 """
+
+#: A match of two terms without another inside: the second follows the first with neither of them in between.
+NEAR_ORACLE = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM words),
+phrases AS (SELECT p AS phrase, split_part(p, ' ', 1) AS a, split_part(p, ' ', 2) AS b FROM (VALUES %s) v(p)),
+near AS (
+  SELECT doc_id, phrase, a, b, word, pos, lag(word) OVER q AS before, lag(pos) OVER q AS at
+  FROM flat JOIN phrases ON word = a OR word = b WINDOW q AS (PARTITION BY doc_id, phrase ORDER BY pos))
+SELECT doc_id, phrase, at AS first, pos AS last FROM near WHERE word = b AND before = a AND pos - at - 1 <= %d
+""" % (", ".join(f"('{p}')" for p in NEAR), SLOP)

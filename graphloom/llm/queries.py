@@ -16,9 +16,11 @@ QUERIES = {
     "op9_language": language.query,
     "op10_substring_dedup": word_dedup.query,
     "pages_language": language.pages_query,
+    "proximity_matches": decontaminate.proximity_query,
 }
 ORACLES = {
     "op3_fixity_audit": fixity.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_substring_dedup": word_dedup.ORACLE,
+    "proximity_matches": decontaminate.NEAR_ORACLE,
 }
