@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -329,6 +330,34 @@ def test_quality_learns_and_scores_edge_cases(spark, docs, none):
     assert {r.score for r in quality.score(docs, blank).collect()} == {0.5} and rng
 
 
+def test_statistics_are_those_of_a_plain_program():
+    text = "Big BIG cat!! sat | on 3 mats.\nBig cat\nBig cat\n%% é"
+    got = dict(zip(quality.NAMES, quality.statistics(text.encode())))
+    words, data, lines = text.encode().split(), text.encode(), text.encode().split(b"\n")
+    share = lambda f: sum(map(f, data)) / len(data)
+    want = {
+        "log_chars": np.log1p(len(data)), "log_words": np.log1p(len(words)), "upper": share(lambda b: 65 <= b <= 90), "lower": share(lambda b: 97 <= b <= 122),
+        "digit": share(lambda b: 48 <= b <= 57), "punctuation": share(lambda b: chr(b) in ".,;:!?'\"-"), "symbol": share(lambda b: chr(b) in "%*#&$@|<>{}[]^~_=+\\/`"),
+        "wide": share(lambda b: b >= 128), "space": share(lambda b: chr(b) in " \t\n\r"), "word_length": np.mean([len(w) for w in words]), "word_spread": np.std([len(w) for w in words]),
+        "distinct_words": len(set(words)) / len(words), "top_word": Counter(words).most_common(1)[0][1] / len(words), "upper_words": sum(w.isupper() for w in words) / len(words),
+        "tail_marks": sum(chr(w[-1]) in "%*#&$!" for w in words) / len(words), "line_length": np.log1p(len(data) / len(lines)), "distinct_lines": len(set(lines)) / len(lines),
+        "bars": text.count("|") / len(words), "marks_per_word": (text.count("!") + text.count("?")) / len(words), "pairs": len(set(zip(words, words[1:]))) / len(words),
+    }
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert not quality.statistics(b"").any()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_quality_of_documents_that_were_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in quality.query(spark, sf).filter("held_out").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in got]
+    assert all(quality.held_out(i) for i in got) and len(labels) > 40
+    assert np.mean([got[i].predicted == y for i, y in labels]) >= 0.93
+    pairs = [(got[i].score > got[j].score) + 0.5 * (got[i].score == got[j].score) for i, x in labels for j, y in labels if x > y]
+    assert np.mean(pairs) >= 0.95
+
+
 def test_trees_are_those_of_a_plain_walk():
     x = np.random.default_rng(0).normal(size=(300, 4))
     y = (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float)
@@ -423,6 +452,32 @@ def test_proximity(spark):
     assert got == [(1, "a b", 0, 2), (1, "a b c", 0, 5), (4, "a b", 0, 1), (4, "a b", 3, 4), (4, "a b c", 3, 5)]
 
 
+def test_proximity_does_not_depend_on_segments(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice("aabbccdde") for _ in range(rng.randrange(40)))) for i in range(30)]
+    phrases = ["a b", "c a b", "e a", "a a b"]
+    want = []
+    for i, text in rows:
+        w = text.split()
+        for p in phrases:
+            terms, spans = p.split(), set()
+            for s in range(len(w)):
+                at, ok = s - 1, True
+                for t in terms:
+                    at = next((k for k in range(at + 1, len(w)) if w[k] == t), -1)
+                    ok = ok and at >= 0
+                    if not ok:
+                        break
+                if ok and w[s] == terms[0]:
+                    spans.add((s, at))
+            least = [(f, e) for f, e in spans if not any((g, h) != (f, e) and f <= g and h <= e for g, h in spans)]
+            want += [(i, p, f, e) for f, e in least if e - f + 1 - len(terms) <= 4]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for words in (1 << 20, 50):
+        monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", words)
+        same([tuple(r) for r in decontaminate.proximity(df, phrases, 4).collect()], want)
+
+
 # 8
 
 
@@ -484,6 +539,52 @@ def test_evidence_is_fused_as_bayes_says(spark):
     assert got[0].probability == pytest.approx(told_a * p / (told_a * p + told_b * (1 - p)))
 
 
+def test_priors_of_three_levels_are_those_of_a_plain_program(spark):
+    rng = random.Random(12)
+    words = {"xx": ["the", "and", "with", "shore"], "yy": ["der", "und", "mit", "strand"], "zz": ["le", "et", "avec", "plage"]}
+    rows = []
+    for i in range(150):
+        k = rng.choice(["xx", "xx", "yy", "zz"])
+        text = None if i % 29 == 0 else "?!" if i % 31 == 0 else " ".join(rng.choice(words[rng.choice([k, k, k, "xx"])]) for _ in range(4))
+        top = rng.choice(["de", "fr", None])
+        domain = top and f"d{rng.randrange(3)}.{top}"
+        rows.append((i, text, rng.choice([k, k, "xx", "other", None]), top, domain, domain and f"h{rng.randrange(2)}.{domain}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, said string, suffix string, domain string, host string")
+    model = language.train(df.withColumn("lang", F.when(F.col("said").isin(*words), F.col("said"))))
+    names = ("suffix", "domain", "host")
+    found = language.identify(df, model, declared=F.col("said"), levels={x: F.col(x) for x in names}).collect()
+    logs = {r[0]: model.evidence((r[1] or "").encode()) for r in rows}
+    votes = {i: int(x.argmax()) for i, x in logs.items() if x is not None}
+    n, smooth = len(model.languages), language.SMOOTHING
+    everywhere = [(sum(v == k for v in votes.values()) + 1) / (len(votes) + n) for k in range(n)]
+
+    def trust(k: int, said) -> float:
+        own = [i for i, v in votes.items() if v == k and rows[i][2] in model.languages]
+        return (sum(rows[i][2] == said for i in own) + smooth / n) / (len(own) + smooth)
+
+    for r in found:
+        own = rows[r.doc_id]
+        p = everywhere
+        for column in (3, 4, 5):
+            there = [votes[i] for i in votes if rows[i][column] == own[column]] if own[column] else []
+            if there:
+                p = [(there.count(k) + smooth * p[k]) / (len(there) + smooth) for k in range(n)]
+        joint = [float(np.log(p[k])) + (0 if logs[own[0]] is None else logs[own[0]][k]) + (np.log(trust(k, own[2])) if own[2] in model.languages else 0) for k in range(n)]
+        odds = np.exp(np.array(joint) - max(joint))
+        assert r.language == model.languages[int(np.argmax(joint))] and r.probability == pytest.approx(1 / odds.sum())
+        assert r.accepted == (logs[own[0]] is not None and 1 / odds.sum() >= language.ACCEPT)
+
+
+def test_texts_are_judged_by_counts_without_them(spark):
+    rows = [(i, " ".join(f"{k}{w}{i % 7}" for w in ("one", "two", "three")), k) for i in range(40) for k in ("aa", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    half = {t: h for t, h in df.select("text", language.half_of(F.col("text"))).distinct().collect()}
+    for h in (0, 1):
+        counts = np.stack([sum((np.bincount(language.trigrams(t.encode()), minlength=language.BUCKETS) for _, t, k in rows if k == own and half[t] != h), np.zeros(language.BUCKETS)) for own in ("aa", "bb")])
+        assert np.allclose(model.halves[h], np.log((counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)))
+
+
 def test_pages_evidence(spark):
     html = '<!DOCTYPE html><HTML class=x lang="EN-us"><script>var x = "<p>"</script><!-- no --><p>The text&amp;more</p>'
     df = spark.createDataFrame([(1, "https://u@WWW.Site.example.CO:80/a?b", html), (2, None, None), (3, "nonsense", "<p>x")], "page_id long, url string, html string")
