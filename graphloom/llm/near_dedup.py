@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, mix, shingles, signed, stage, table, word_values
+from .common import arrow_pass, discard, mix, shingles, signed, stage, table, word_values
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: MinHash rows for bands.
@@ -209,15 +209,18 @@ def _ties(left: DataFrame, texts: DataFrame, size: int, similarity: float) -> Da
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes, root the least of the component: alternating large-star and small-star."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
+    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written, so that the join has a shuffle on either side and splits where a node has very many edges.
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large)
+        lower = stage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = stage(small.select("e.u", "e.v").filter("u > v").distinct())
+        discard(least, large, lower)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
