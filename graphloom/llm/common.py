@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import time
 import uuid
@@ -53,6 +54,9 @@ def enter(step: str) -> None:
         for cache in Cache.every:
             cache.clear()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
         Cache.step = step
 
 
