@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .cycles import DRIVER_EDGES, connected
 
+#: Pairs of a connected component that one task optimises at most (some 10 GB of memory).
+TASK_EDGES = 20_000_000
+
 
 def undirected_pairs(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """Rows 200-201: (a, b, w), a <= b: reciprocal pairs summed; weight 1 without one."""
@@ -67,9 +70,42 @@ def mulberry(seed: int):
     return step
 
 
-def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float = 1.0, max_levels: int = 50, max_passes: int = 20, total: float | None = None) -> dict:
-    """Rows 191-195: node -> community (least member): local moves, random refinement inside communities, coarsening.
-    total is the weight of the whole graph, if pairs are a part of it."""
+def modularity_gain(links: float, strength: float, degree: float, total: float, gamma: float = 1.0) -> float:
+    """Row 198: what a node of `strength` adds to a community of `degree` that it has `links` to, up to the factor 1/m."""
+    return links - gamma * strength * degree / (2 * total)
+
+
+def directed_modularity_gain(links_in: float, links_out: float, strength_in: float, strength_out: float, degree_in: float, degree_out: float, total: float, gamma: float = 1.0) -> float:
+    """Row 379: the same where edges have directions; total is the weight of all of them."""
+    return links_in + links_out - gamma * (strength_out * degree_in + strength_in * degree_out) / total
+
+
+def cpm_gain(links: float, size: float, members: float, gamma: float = 1.0) -> float:
+    """Row 378: what a node that stands for `size` ones adds to a community of `members` by the constant Potts model."""
+    return links - gamma * size * members
+
+
+def split_disconnected(pairs: list[tuple], found: dict) -> dict:
+    """Row 195: communities whose members are not all tied within are split into their connected parts, named by their
+    least members."""
+    inner = [(a, b, w) for a, b, w in pairs if found[a] == found[b]]
+    out = {x: x for x in found}
+    for part in _parts(inner):
+        members = {x for a, b, _ in part for x in (a, b)}
+        out |= dict.fromkeys(members, min(members))
+    return out
+
+
+def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float = 1.0, max_levels: int = 50, max_passes: int = 20, total: float | None = None, quality: str = "modularity") -> dict:
+    """Rows 191-195: node -> community (least member): local moves, random refinement inside communities, coarsening, and
+    at the end a split of communities that fall apart. total is the weight of the whole graph, if pairs are a part of it;
+    quality is modularity or cpm."""
+    return split_disconnected(pairs, _leiden(pairs, gamma, seed, theta, max_levels, max_passes, total, quality))
+
+
+def _leiden(pairs: list[tuple], gamma: float, seed: int, theta: float, max_levels: int, max_passes: int, total: float | None, quality: str) -> dict:
+    # By the constant Potts model, a node's mass is the number of nodes it stands for; by modularity, its strength.
+    potts = quality == "cpm"
     rng = mulberry(seed)
     names = sorted({x for a, b, _ in pairs for x in (a, b)})
     at = {x: i for i, x in enumerate(names)}
@@ -85,11 +121,13 @@ def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float
     total = sum(loops) + sum(sum(g.values()) for g in graph) / 2 if total is None else total
     if not total:
         return {x: x for x in names}
+    scale = 1.0 if potts else 2 * total
+    held = [1.0] * len(names)
     group = list(range(len(names)))  # of original nodes: the coarse node that holds them
     start = None
     for _ in range(max_levels):
         n = len(graph)
-        strength = [2 * loops[i] + sum(graph[i].values()) for i in range(n)]
+        strength = held if potts else [2 * loops[i] + sum(graph[i].values()) for i in range(n)]
         part = list(range(n)) if start is None else start
         sums: dict[int, float] = {}
         for i in range(n):
@@ -103,10 +141,10 @@ def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float
                     links[part[j]] = links.get(part[j], 0.0) + w
                 own = part[i]
                 sums[own] -= strength[i]
-                stay = links.get(own, 0.0) - gamma * strength[i] * sums[own] / (2 * total)
+                stay = links.get(own, 0.0) - gamma * strength[i] * sums[own] / scale
                 best, gain = own, 1e-12
                 for c in sorted(links):
-                    g = links[c] - gamma * strength[i] * sums.get(c, 0.0) / (2 * total) - stay
+                    g = links[c] - gamma * strength[i] * sums.get(c, 0.0) / scale - stay
                     if g > gain:
                         best, gain = c, g
                 sums[best] = sums.get(best, 0.0) + strength[i]
@@ -115,16 +153,17 @@ def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float
             moved_any = moved_any or moved
             if not moved:
                 break
-        fine = _refined(graph, strength, part, gamma, total, theta, rng)
+        fine = _refined(graph, strength, part, gamma, scale, theta, rng)
         label = {c: k for k, c in enumerate(sorted(set(fine)))}
         if not moved_any and len(label) == n or len(label) == n:
             return _named(names, [part[group[i]] for i in range(len(names))])
         coarse: list[dict[int, float]] = [{} for _ in label]
-        inner = [0.0] * len(label)
+        inner, count = [0.0] * len(label), [0.0] * len(label)
         start = [0] * len(label)
         for i in range(n):
             a = label[fine[i]]
             inner[a] += loops[i]
+            count[a] += held[i]
             start[a] = part[i]
             for j, w in graph[i].items():
                 b = label[fine[j]]
@@ -135,7 +174,7 @@ def leiden(pairs: list[tuple], gamma: float = 1.0, seed: int = 42, theta: float
         ids = {c: k for k, c in enumerate(sorted(set(start)))}
         start = [ids[c] for c in start]
         group = [label[fine[g]] for g in group]
-        graph, loops = coarse, inner
+        graph, loops, held = coarse, inner, count
     return _named(names, [start[group[i]] for i in range(len(names))])
 
 
@@ -147,7 +186,7 @@ def _shuffled(n: int, rng) -> list[int]:
     return order
 
 
-def _refined(graph, strength, part, gamma, total, theta, rng) -> list[int]:
+def _refined(graph, strength, part, gamma, scale, theta, rng) -> list[int]:
     """From singletons, one random sweep: each node that is still alone may join a neighbour's subset of its community."""
     n = len(graph)
     fine, sums, size = list(range(n)), list(strength), [1] * n
@@ -160,7 +199,7 @@ def _refined(graph, strength, part, gamma, total, theta, rng) -> list[int]:
                 links[fine[j]] = links.get(fine[j], 0.0) + w
         options = [(fine[i], 0.0)]
         for c in sorted(links):
-            gain = links[c] - gamma * strength[i] * sums[c] / (2 * total)
+            gain = links[c] - gamma * strength[i] * sums[c] / scale
             if c != fine[i] and gain > 0:
                 options.append((c, gain))
         top = max(g for _, g in options)
@@ -198,6 +237,9 @@ def communities(edges: DataFrame, weight: str | None = None, gamma: float = 1.0,
     # Modularity couples components only through the total weight; a component is the unit of a task.
     of = connected(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
     tagged = pairs.join(of.withColumnRenamed("node", "a"), "a")
+    largest = tagged.groupBy("component").count().agg(F.max("count")).first()[0]
+    if largest > TASK_EDGES:
+        raise ValueError(f"a connected component of {largest:,} pairs is more than one task takes ({TASK_EDGES:,})")
 
     def optimise(rows: pd.DataFrame) -> pd.DataFrame:
         part = sorted(rows[["a", "b", "w"]].itertuples(index=False, name=None))
