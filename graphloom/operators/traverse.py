@@ -32,7 +32,8 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, dir
     if both_steps is not None:
         turned = turned.unionByName(both_steps.select("source_id", "target_id"))
     turned = turned.filter("source_id <> target_id").distinct()
-    level = cut(starts.select("root", "node").distinct().select("root", "node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
+    turned = turned if max_depth == 1 else cut(turned)  # read by every level
+    level = cut(starts.select("root", "node").distinct().select("root", "node", F.lit(0).alias("depth"), F.lit(None).cast(dict(edges.dtypes)["source_id"]).alias("parent")))
     levels, depth = [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -49,6 +50,7 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int, implementors: Dat
     """Rows 165-167: transitive callers of each root, by depth. With implementors (source implements target), those of an
     interface found at a depth are recorded one deeper but join the same next frontier."""
     calls = edges.select("source_id", "target_id").distinct()
+    calls = calls if max_depth == 1 else cut(calls)
     level = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")))
     seen, frontier = [level], level
     for depth in range(max_depth):
@@ -66,19 +68,25 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int, implementors: Dat
     return _union(seen).filter("depth > 0")
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, max_depth: int = 10, direction: str = "forward") -> DataFrame:
+def shortest_path(edges: DataFrame, source: int | str, target: int | str, max_depth: int = 10, direction: str = "forward") -> DataFrame:
     """Rows 161-163: (step, node) of a shortest path; empty if there is none, one row if both are the same. Of several
     predecessors the least counts."""
-    spark = edges.sparkSession
-    found = cut(reach(edges, spark.createDataFrame([(source, source)], "root long, node long"), max_depth, direction))
-    end = found.filter(F.col("node") == target).select("depth").first()
-    if end is None:
-        return spark.createDataFrame([], "step int, node long")
-    path, node = [], target
-    for step in range(end.depth, -1, -1):  # at most max_depth + 1 rows
-        path.append((step, node))
-        node = found.filter((F.col("node") == node) & (F.col("depth") == step)).first().parent
-    return spark.createDataFrame(path[::-1], "step int, node long")
+    kind = dict(edges.dtypes)["source_id"]
+    found = cut(reach(edges, edges.sparkSession.createDataFrame([(source, source)], f"root {kind}, node {kind}"), max_depth, direction))
+    # Back from the target by one join a step, each of one row; a null parent ends it at the start.
+    at = found.filter(F.col("node") == target).select(F.col("depth").alias("step"), "node", "parent")
+    path = [at]
+    for _ in range(max_depth):
+        before = found.select(F.col("node").alias("parent"), F.col("depth").alias("d"), F.col("parent").alias("next"))
+        at = at.join(before, "parent").filter("d = step - 1").select((F.col("step") - 1).alias("step"), F.col("parent").alias("node"), F.col("next").alias("parent"))
+        path.append(at)
+    return _union(path).select("step", "node").orderBy("step")
+
+
+def file_path(pairs: DataFrame, source: str, target: str, max_depth: int = 10) -> DataFrame:
+    """Row 164: (step, file) of a shortest chain of imports between two files; pairs has (source_file, target_file)."""
+    edges = pairs.select(F.col("source_file").alias("source_id"), F.col("target_file").alias("target_id"))
+    return shortest_path(edges, source, target, max_depth).select("step", F.col("node").alias("file"))
 
 
 def alternates(edges: DataFrame, found: DataFrame, target: int) -> DataFrame:
@@ -112,21 +120,21 @@ def reverse_dependencies(pairs: DataFrame, changed: DataFrame) -> DataFrame:
     return into.distinct().join(changed, "file", "left_anti")
 
 
-def resolve_barrels(reexports: DataFrame, definitions: DataFrame, wanted: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Row 184: (file, name, def_file, def_name): names imported from barrels, chased through renaming re-exports.
+def resolve_barrels(reexports: DataFrame, definitions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows 184, 410: (file, name, def_file, def_name): names imported from barrels, chased through renaming re-exports to
+    the end; circles of barrels end where they began.
 
     reexports has (file, name, source_file, source_name), name '*' for a wildcard; definitions has (file, name).
     """
     at = wanted.select("file", "name", F.col("file").alias("at_file"), F.col("name").alias("at_name")).distinct()
-    out, seen = [], []
-    for _ in range(max_depth):
-        at = cut(at)
+    out, seen, at = [], [], cut(at)
+    while True:
         hit = at.join(definitions.select(F.col("file").alias("at_file"), F.col("name").alias("at_name")), ["at_file", "at_name"], "left_semi")
         out.append(hit)
         seen.append(at)
         rest = at.join(hit, ["file", "name", "at_file", "at_name"], "left_anti")
         r = reexports.select(F.col("file").alias("r_file"), F.col("name").alias("r_name"), "source_file", "source_name")
-        nxt = rest.join(r, (F.col("at_file") == F.col("r_file")) & F.col("r_name").isin("*") | (F.col("at_file") == F.col("r_file")) & (F.col("at_name") == F.col("r_name")))
+        nxt = rest.join(r, (F.col("at_file") == F.col("r_file")) & ((F.col("r_name") == "*") | (F.col("at_name") == F.col("r_name"))))
         at = nxt.select("file", "name", F.col("source_file").alias("at_file"), F.when(F.col("r_name") == "*", F.col("at_name")).otherwise(F.col("source_name")).alias("at_name")).distinct()
         at = cut(at.join(_union(seen), ["file", "name", "at_file", "at_name"], "left_anti"))
         if at.isEmpty():

@@ -1,5 +1,21 @@
 """Declared tables (Spark DDL) and enumerations of the graph model."""
 
+#: What a front-end says of one file. Of a name in a scope (null: the module), types has its type, or the function whose
+#: result it is.
+FACTS = (
+    "file string, language string, error string, "
+    "defs array<struct<name:string,kind:string,line:int,end_line:int,parent:string,exported:int,cognitive:int,cyclomatic:int,max_nesting:int,loc:int,sloc:int,comments:int,volume:double,mi:double,effort:double>>, "
+    "imports array<struct<source:string,name:string,alias:string,line:int,kind:string>>, "
+    "calls array<struct<caller:string,name:string,receiver:string,line:int>>, "
+    "bases array<struct<name:string,base:string,kind:string>>, "
+    "nodes array<struct<kind:string,name:string,line:int>>, "
+    "blocks array<struct<func:string,idx:int,kind:string,start:int,stop:int>>, "
+    "jumps array<struct<func:string,source:int,target:int,kind:string>>, "
+    "flows array<struct<source:string,target:string,kind:string,param:int,expression:string,line:int>>, "
+    "types array<struct<scope:string,name:string,type:string,source:string>>, "
+    "returns array<struct<func:string,type:string>>, "
+    "bindings array<struct<lhs:string,rhs:string>>"
+)
 TABLES = {
     "nodes": "id long, name string, kind string, file string, line int, end_line int, parent_id long, exported int, qualified_name string, scope string, visibility string, role string",
     "edges": "source_id long, target_id long, kind string, confidence double, dynamic int, technique string, dynamic_kind string",
@@ -13,10 +29,11 @@ TABLES = {
     "cfg_edges": "function_id long, source_block int, target_block int, kind string",
     "ast_nodes": "file string, line int, kind string, name string, text string, parent_id long",
     "deleted_export_advisories": "file string, name string, kind string, line int, consumer_name string, consumer_file string, deleted_at long",
+    "facts": FACTS,
 }
 CORE_KINDS = ("function", "method", "class", "interface", "type", "struct", "enum", "trait", "record", "module")
 EXTENDED_KINDS = ("parameter", "property", "constant")
-EDGE_KINDS = ("imports", "imports-type", "dynamic-imports", "reexports", "calls", "extends", "implements", "contains", "parameter_of", "receiver")
+EDGE_KINDS = ("imports", "imports-type", "dynamic-imports", "reexports", "calls", "extends", "implements", "reexports-wildcard", "contains", "parameter_of", "receiver")
 NON_COUPLING_KINDS = ("contains", "parameter_of", "receiver")
 ROLES = ("entry", "core", "utility", "adapter", "leaf", "test-only", "dead", "dead-leaf", "dead-entry", "dead-ffi", "dead-unresolved")
 ROLE_WEIGHTS = {

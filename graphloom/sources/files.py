@@ -15,16 +15,110 @@ from ..schema import LANGUAGE_OF
 IGNORED = ("node_modules", ".git", "dist", "build", "coverage", "vendor", "__pycache__", ".venv", "target")
 
 
+def ignore_rule(line: str, base: str = "") -> tuple[str, bool] | None:
+    """(regular expression of paths, ignored) of a line of an ignore file in directory base; None for blank and comments."""
+    text = line.rstrip()
+    if not text or text.startswith("#"):
+        return None
+    keep = text.startswith("!")
+    text = text.removeprefix("!").removeprefix("\\")
+    only_dirs, anchored = text.endswith("/"), "/" in text.rstrip("/")
+    body = S.glob_regex(text.strip("/")).removeprefix("^").removesuffix("$")
+    head = re.escape(base + "/") if base else ""
+    return f"^{head}{'' if anchored else '(?:.*/)?'}{body}{'/' if only_dirs else '(?:/|$)'}", not keep
+
+
+def ignored(path: str, rules: list[tuple[str, bool]]) -> bool:
+    """The last rule that matches decides."""
+    return next((out for rule, out in reversed(rules) if re.search(rule, path)), False)
+
+
+def _bytes(spark: SparkSession, status) -> bytes:
+    """The content of a small file that Spark's readers pass over as hidden, by way of the driver."""
+    context = spark.sparkContext
+    stream = status.getPath().getFileSystem(context._jsc.hadoopConfiguration()).open(status.getPath())
+    try:
+        return bytes(context._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def walk(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, bool]], list]:
+    """Row 2: the directories below root that are no build products and not ignored, the rules of all ignore files, and the
+    status of files that start with an underscore. The tree is listed by Hadoop's file system, so root may be on any
+    store; links to a directory seen before are left out."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(top)
+    base = str(top.toUri().getPath()).rstrip("/")
+    todo, out, rules, seen, underscored = [top], [], [], set(), []
+    while todo:
+        path = todo.pop()
+        real = jvm.java.io.File(path.toUri().getPath()).getCanonicalPath() if fs.getScheme() == "file" else str(path)
+        if real in seen:
+            continue
+        seen.add(real)
+        out.append(str(path))
+        own = str(path.toUri().getPath())[len(base) :].strip("/")
+        entries = list(fs.listStatus(path))
+        for e in entries:
+            if e.getPath().getName() == ".gitignore" and e.isFile():
+                rules += [r for line in _bytes(spark, e).decode("utf-8", "replace").splitlines() if (r := ignore_rule(line, own))]
+        underscored += [e for e in entries if e.isFile() and e.getPath().getName().startswith("_")]
+        for e in entries:
+            name = e.getPath().getName()
+            if e.isDirectory() and name not in IGNORED and not ignored(f"{own}/{name}/".lstrip("/"), rules):
+                todo.append(e.getPath())
+    return out, rules, underscored
+
+
+_READ = "path string, content binary, mtime long, size long"
+
+
+def _underscored(spark: SparkSession, found: list, most: int = 64 << 20) -> DataFrame | None:
+    """Files such as __init__.py, which Spark's readers pass over as hidden: read by way of the driver, at most so many
+    bytes at a time."""
+    from ..storage import cut
+
+    parts, rows, size = [], [], 0
+    for i, e in enumerate(found):
+        content = _bytes(spark, e)
+        rows.append((str(e.getPath()), bytearray(content), e.getModificationTime(), len(content)))
+        size += len(content)
+        if size >= most or i == len(found) - 1:
+            parts.append(cut(spark.createDataFrame(rows, _READ)))
+            rows, size = [], 0
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def scan_tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), extensions: list[str] | None = None) -> DataFrame:
-    """Rows 1-4: (file, content, hash, mtime, size) of source files below root, paths relative to it, '/' as separator."""
+    """Rows 1-2, 4: (file, content, hash, mtime, size) of source files below root, paths relative to it, '/' as separator.
+    Ignored directories are not listed at all."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    folders, rules, underscored = walk(spark, base)
+    known = extensions or list(LANGUAGE_OF)
+    raw = spark.read.format("binaryFile").load(folders).select("path", "content", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    more = _underscored(spark, [e for e in underscored if any(e.getPath().getName().lower().endswith(x) for x in known)])
+    raw = raw if more is None else raw.unionByName(more)
     path = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     file = F.expr("substring(p, locate(b, p) + length(b) + 1)")
     rows = raw.withColumn("p", path).withColumn("b", F.lit(re.sub(r"^[a-z]+:/*", "/", base))).withColumn("file", file)
-    known = extensions or list(LANGUAGE_OF)
-    kept = rows.filter(S.extension(F.col("file")).isin(*known) & ~F.col("file").rlike(rf"(^|/)({'|'.join(map(re.escape, IGNORED))})/") & S.passes(F.col("file"), include, exclude))
-    return kept.select("file", "content", F.sha2("content", 256).alias("hash"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    out = F.lit(False)
+    for rule, hides in rules:
+        out = F.when(F.col("file").rlike(rule), hides).otherwise(out)
+    kept = rows.filter(S.extension(F.col("file")).isin(*known) & ~out & S.passes(F.col("file"), include, exclude))
+    return kept.select("file", "content", F.sha2("content", 256).alias("hash"), "mtime", "size")
+
+
+def fast_collect(known: DataFrame, journal: DataFrame) -> DataFrame:
+    """Row 3: (file) without a walk: the files that the store knows, with what the journal (file, removed, seq) has added
+    since and without what it has removed; of several entries of a file the last counts."""
+    last = journal.groupBy("file").agg(F.max_by("removed", "seq").alias("removed"))
+    return known.select("file").unionByName(last.filter("NOT removed").select("file")).distinct().join(last.filter("removed").select("file"), "file", "left_anti")
 
 
 def declaration_hashes(defs: DataFrame, files: DataFrame) -> DataFrame:

@@ -15,29 +15,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import LANGUAGE_OF
-
-FACTS = (
-    "file string, language string, error string, "
-    "defs array<struct<name:string,kind:string,line:int,end_line:int,parent:string,exported:int,cognitive:int,cyclomatic:int,max_nesting:int,loc:int,sloc:int,comments:int,volume:double,mi:double>>, "
-    "imports array<struct<source:string,name:string,alias:string,line:int>>, "
-    "calls array<struct<caller:string,name:string,receiver:string,line:int>>, "
-    "bases array<struct<name:string,base:string,kind:string>>, "
-    "nodes array<struct<kind:string,name:string,line:int>>, "
-    "blocks array<struct<func:string,idx:int,kind:string,start:int,stop:int>>, "
-    "jumps array<struct<func:string,source:int,target:int,kind:string>>, "
-    "flows array<struct<source:string,target:string,kind:string,param:int,expression:string,line:int>>"
-)
-_KEYS = ("defs", "imports", "calls", "bases", "nodes", "blocks", "jumps", "flows")
-
-
-def _lines(lines: list[str], mark: str = "#") -> tuple[int, int, int]:
-    """Row 252: lines, source lines, comment lines."""
-    comments = sum(x.strip().startswith(mark) for x in lines)
-    blank = sum(not x.strip() for x in lines)
+from ..schema import FACTS, LANGUAGE_OF
+
+_KEYS = ("defs", "imports", "calls", "bases", "nodes", "blocks", "jumps", "flows", "types", "returns", "bindings")
+
+
+def _lines(lines: list[str], mark: str = "#", block: bool = False) -> tuple[int, int, int]:
+    """Row 252: lines, source lines, comment lines; with block, what stands between /* and */ is comment too."""
+    comments, blank, inside = 0, 0, False
+    for x in map(str.strip, lines):
+        if not x:
+            blank += 1
+        elif inside or x.startswith(mark) or block and x.startswith("/*"):
+            comments += 1
+            inside = block and (inside or x.startswith("/*")) and "*/" not in x
     return len(lines), max(1, len(lines) - comments - blank), comments
 
 
+def halstead(operators: list[str], operands: list[str]) -> tuple[float, float]:
+    """Row 251: (volume, effort)."""
+    n1, n2 = len(set(operators)), len(set(operands))
+    volume = (len(operators) + len(operands)) * math.log2(n1 + n2) if n1 + n2 else 0.0
+    return volume, (n1 / 2 * len(operands) / n2 * volume if n2 else 0.0)
+
+
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
 _NEST = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Lambda)
 
@@ -79,8 +80,8 @@ def complexity(func: ast.AST) -> tuple[int, int, int]:
     return cognitive, cyclomatic, deepest
 
 
-def halstead_volume(func: ast.AST) -> float:
-    """Row 276: operators are node types with an operation; operands are names and constants."""
+def halstead_of(func: ast.AST) -> tuple[float, float]:
+    """Row 276: (volume, effort); operators are node types with an operation, operands names and constants."""
     operators, operands = [], []
     for x in ast.walk(func):
         if isinstance(x, (ast.operator, ast.unaryop, ast.boolop, ast.cmpop, ast.Call, ast.Assign, ast.AugAssign, ast.Return, ast.If, ast.For, ast.While, ast.Attribute, ast.Subscript)):
@@ -89,8 +90,7 @@ def halstead_volume(func: ast.AST) -> float:
             operands.append(x.id)
         elif isinstance(x, ast.Constant):
             operands.append(repr(x.value))
-    vocabulary = len(set(operators)) + len(set(operands))
-    return (len(operators) + len(operands)) * math.log2(vocabulary) if vocabulary else 0.0
+    return halstead(operators, operands)
 
 
 def control_flow(func: ast.FunctionDef) -> tuple[list[tuple], list[tuple]]:
@@ -188,25 +188,43 @@ def parse_python(text: str) -> dict:
                 own = lines[x.lineno - 1 : x.end_lineno]
                 loc, sloc, comments = _lines(own)
                 if isinstance(x, ast.ClassDef):
-                    out["defs"].append((name, "class", x.lineno, x.end_lineno, owner, int(not x.name.startswith("_")), None, None, None, loc, sloc, comments, None, None))
+                    out["defs"].append((name, "class", x.lineno, x.end_lineno, owner, int(not x.name.startswith("_")), None, None, None, loc, sloc, comments, None, None, None))
                     out["bases"] += [(name, b, "extends") for b in map(_name, x.bases) if b]
                     scope, inside = name, caller
                 else:
                     cognitive, cyclomatic, depth = complexity(x)
-                    volume = halstead_volume(x)
-                    mi = 171 - 5.2 * math.log(volume or 1) - 0.23 * cyclomatic - 16.2 * math.log(sloc)
-                    out["defs"].append((name, "method" if owner else "function", x.lineno, x.end_lineno, owner, int(not x.name.startswith("_")), cognitive, cyclomatic, depth, loc, sloc, comments, volume, math.floor(min(100.0, max(0.0, mi * 100 / 171)) * 10 + 0.5) / 10))
+                    volume, effort = halstead_of(x)
+                    out["defs"].append((name, "method" if owner else "function", x.lineno, x.end_lineno, owner, int(not x.name.startswith("_")), cognitive, cyclomatic, depth, loc, sloc, comments, volume, maintainability(volume, cyclomatic, sloc), effort))
                     blocks, jumps = control_flow(x)
                     out["blocks"] += [(name, *b) for b in blocks]
                     out["jumps"] += [(name, *e) for e in jumps]
                     dataflow(x, name)
+                    for a in [*x.args.posonlyargs, *x.args.args, *x.args.kwonlyargs]:
+                        if a.annotation and (t := _name(a.annotation)):
+                            out["types"].append((name, a.arg, t, None))
+                    if x.returns and (t := _name(x.returns)):
+                        out["returns"].append((name, t))
                     scope, inside = None, name
             elif isinstance(x, ast.Import):
-                out["imports"] += [(a.name, None, a.asname, x.lineno) for a in x.names]
+                out["imports"] += [(a.name, None, a.asname, x.lineno, "namespace") for a in x.names]
             elif isinstance(x, ast.ImportFrom):
-                out["imports"] += [("." * x.level + (x.module or ""), a.name, a.asname, x.lineno) for a in x.names]
+                source = "." * x.level + (x.module or "")
+                out["imports"] += [(source, None if a.name == "*" else a.name, a.asname, x.lineno, "reexport-all" if a.name == "*" else "named") for a in x.names]
+            elif isinstance(x, ast.Assign) and len(x.targets) == 1 and (left := _name(x.targets[0])):
+                if isinstance(x.value, ast.Call) and (callee := _name(x.value.func)):
+                    made = callee.rpartition(".")[2][:1].isupper()
+                    out["types"].append((caller, left, callee if made else None, None if made else callee))
+                elif isinstance(x.value, ast.Name):
+                    out["bindings"].append((left, x.value.id))
+            elif isinstance(x, ast.AnnAssign) and (left := _name(x.target)) and (t := _name(x.annotation)):
+                out["types"].append((caller, left, t, None))
+            elif isinstance(x, ast.Return) and caller and isinstance(x.value, ast.Call) and (t := _name(x.value.func)) and t.rpartition(".")[2][:1].isupper():
+                out["returns"].append((caller, t))
             elif isinstance(x, ast.Call):
                 full = _name(x.func)
+                # Row 400: getattr(thing, "name")(...) calls thing.name.
+                if isinstance(x.func, ast.Call) and _name(x.func.func) == "getattr" and len(x.func.args) > 1 and isinstance(x.func.args[1], ast.Constant) and isinstance(x.func.args[1].value, str):
+                    out["calls"].append((caller, x.func.args[1].value, _name(x.func.args[0]), x.lineno))
                 if full:
                     receiver, _, bare = full.rpartition(".")
                     out["calls"].append((caller, bare, receiver or None, x.lineno))
@@ -253,10 +271,111 @@ _WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "sizeof
 _KIND = {"object": "class", "protocol": "interface", "union": "struct", "resource": "module", "variable": "constant", "output": "constant", "data": "module"}
 
 
+_MODULES = re.compile(r"\b(import|export)\b\s*(type\b(?!\s+from))?\s*(?:([^'\";()=]*?)\s*\bfrom\s*)?['\"]([^'\"\n]+)['\"]")
+_REQUIRE = re.compile(r"(?:\b(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*)?(?:await\s+)?\b(require|import)\(\s*['\"]([^'\"\n]+)['\"]\s*\)")
+
+
+def _specifiers(braces: str, mark: str) -> list[tuple[str, str | None, bool]]:
+    """(name, alias, type only) of `a as b, type T`, or of `a: b` with another mark."""
+    out = []
+    for part in filter(None, (x.strip() for x in braces.strip().strip("{}").split(","))):
+        typed = part.startswith("type ")
+        name, _, alias = part.removeprefix("type ").partition(mark)
+        out.append((name.strip(), alias.strip() or None, typed))
+    return out
+
+
+def module_imports(text: str) -> list[tuple]:
+    """Row 286: imports, re-exports and requires of a JavaScript or TypeScript module, a row a name."""
+    out = []
+    for m in _MODULES.finditer(text):
+        word, typed, clause, source = m[1], bool(m[2]), (m[3] or "").strip(), m[4]
+        line = text.count("\n", 0, m.start()) + 1
+        braces = re.search(r"\{[^}]*\}", clause)
+        if word == "export":
+            if clause.startswith("*"):
+                out.append((source, None, None, line, "reexport-all"))
+            elif braces:
+                out += [(source, n, a, line, "reexport") for n, a, _ in _specifiers(braces[0], " as ")]
+            continue
+        if not clause:
+            out.append((source, None, None, line, "side-effect"))
+        if braces:
+            out += [(source, n, a, line, "type" if typed or t else "named") for n, a, t in _specifiers(braces[0], " as ")]
+        for part in filter(None, (x.strip() for x in re.sub(r"\{[^}]*\}", "", clause).split(","))):
+            star = re.match(r"\*\s*as\s+([\w$]+)", part)
+            out.append((source, None, star[1], line, "namespace") if star else (source, "default", part, line, "type" if typed else "default"))
+    for m in _REQUIRE.finditer(text):
+        line, kind = text.count("\n", 0, m.start()) + 1, "dynamic" if m[2] == "import" else "named"
+        if m[1] and m[1].startswith("{"):
+            out += [(m[3], n, a, line, kind) for n, a, _ in _specifiers(m[1], ":")]
+        else:
+            out.append((m[3], None, m[1], line, kind if kind == "dynamic" else "namespace" if m[1] else "side-effect"))
+    return out
+
+
+_TOKEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?\*/|[A-Za-z_$][\w$]*|\d[\w.]*|&&|\|\||\?\?|[=!<>+\-*/%&|^]=+|=>|\+\+|--|<<|>>|[^\s\w]", re.S)
+_BRANCHES = {"if", "for", "foreach", "while", "case", "catch", "except", "elif", "elsif", "unless", "until", "guard", "when"}
+_NESTS = {"if", "for", "foreach", "while", "switch", "match", "catch", "loop", "unless", "until", "guard"}
+
+
+def token_complexity(body: str) -> tuple[int, int, int, float, float]:
+    """Rows 274-276 for languages with braces: cognitive, cyclomatic, greatest nesting, Halstead volume and effort.
+
+    A branch costs one and its nesting, a run of one logical operator one, as does an else. Comments count for nothing;
+    names, numbers and strings are operands, all else operators.
+    """
+    cognitive, cyclomatic, deepest, before, operators, operands = 0, 1, 0, "", [], []
+    levels: list[bool] = []  # of the open braces: whether a nesting word opened it
+    opens, round_ = False, 0
+    for token in _TOKEN.findall(body):
+        if token.startswith(("//", "/*")):
+            continue
+        if token in _BRANCHES:
+            cyclomatic += 1
+        if token in _NESTS:
+            if token == "if" and before == "else":
+                opens = True
+            else:
+                cognitive += 1 + sum(levels)
+                opens = True
+        elif token == "else":
+            cognitive += 1
+            opens = True
+        elif token in ("&&", "||", "??"):
+            cyclomatic += 1
+            cognitive += token != logical if (logical := next((x for x in reversed(operators) if x in ("&&", "||", "??", ";", "{", "}")), "")) else 1
+        elif token == "{":
+            levels.append(opens)
+            opens = False
+            deepest = max(deepest, sum(levels))
+        elif token == "}" and levels:
+            levels.pop()
+        elif token in "()":
+            round_ += 1 if token == "(" else -1
+        elif token == ";" and not round_:  # not those in the head of a loop
+            opens = False
+        (operands if token[0].isalnum() or token[0] in "_$\"'" and token not in _BRANCHES | _NESTS else operators).append(token)
+        before = token
+    return cognitive, cyclomatic, deepest, *halstead(operators, operands)
+
+
+def maintainability(volume: float, cyclomatic: int, sloc: int) -> float:
+    """Row 253, one place after the point."""
+    mi = 171 - 5.2 * math.log(volume or 1) - 0.23 * cyclomatic - 16.2 * math.log(max(1, sloc))
+    return math.floor(min(100.0, max(0.0, mi * 100 / 171)) * 10 + 0.5) / 10
+
+
+_HASHED = ("ruby", "bash", "elixir", "r", "julia", "hcl")
+_MODULAR = ("javascript", "typescript", "tsx")
+
+
 def parse_lexical(text: str, language: str) -> dict:
     """Definitions, imports and calls by rules; a definition ends with its braces, or before the next one of its indent."""
     out: dict = {k: [] for k in _KEYS}
     defs, imports = LEXICAL[language]
+    if language in _MODULAR:
+        out["imports"], imports = module_imports(text), []
     lines, found = text.split("\n"), []
     for i, line in enumerate(lines, 1):
         for rule in defs:
@@ -267,7 +386,7 @@ def parse_lexical(text: str, language: str) -> dict:
                 break
         for rule in imports:
             if m := re.search(rule, line):
-                out["imports"].append((m["source"], None, None, i))
+                out["imports"].append((m["source"], None, None, i, "module"))
                 break
     stack: list[tuple[int, int, str, str]] = []  # indent, end, name, kind
     spans = []
@@ -286,8 +405,14 @@ def parse_lexical(text: str, language: str) -> dict:
             stack.pop()
         owner = next((s[2] for s in reversed(stack) if s[3] not in ("function", "method")), None)
         full, kind = (f"{owner}.{name}", "method") if owner and kind == "function" else (name, kind)
-        loc, sloc, comments = _lines(lines[i - 1 : end], "//")
-        out["defs"].append((full, kind, i, end, owner, int("export" in lines[i - 1] or "pub" in lines[i - 1] or name[:1].isupper()), None, None, None, loc, sloc, comments, None, None))
+        loc, sloc, comments = _lines(lines[i - 1 : end], "//", True) if language not in _HASHED else _lines(lines[i - 1 : end])
+        measured = (None,) * 6
+        if kind in ("function", "method") and any("{" in x for x in lines[i - 1 : end]):
+            body = "\n".join(lines[i - 1 : end])
+            cognitive, cyclomatic, deepest, volume, effort = token_complexity(body[body.index("{") + 1 :])
+            measured = (cognitive, cyclomatic, deepest, volume, maintainability(volume, cyclomatic, sloc), effort)
+        public = "export" in lines[i - 1] if language in _MODULAR else "pub" in lines[i - 1] or "export" in lines[i - 1] or name[:1].isupper()
+        out["defs"].append((full, kind, i, end, owner, int(public), *measured[:3], loc, sloc, comments, *measured[3:]))
         if base:
             out["bases"].append((full, base, "extends"))
         stack.append((indent, end, full, kind))
@@ -298,6 +423,12 @@ def parse_lexical(text: str, language: str) -> dict:
         caller = min(inner, key=lambda s: s[1] - s[0])[2] if inner else None
         if any(i == f[0] for f in found):
             line = line[line.find("{") + 1 :] if "{" in line else ""
+        if m := re.search(r"([A-Za-z_$][\w$]*)\s*:?=\s*new\s+([A-Za-z_$][\w$]*)", line):
+            out["types"].append((caller, m[1], m[2], None))
+        elif m := re.match(r"\s*(?:const|let|var)\s+([\w$]+)\s*=\s*([A-Za-z_$][\w$]*)\s*;?\s*$", line):
+            out["bindings"].append((m[1], m[2]))
+        for m in re.finditer(r"([A-Za-z_$][\w$]*)\[\s*['\"]([A-Za-z_$][\w$]*)['\"]\s*\]\s*\(", line):
+            out["calls"].append((caller, m[2], m[1], i))  # row 400: a literal key
         for m in re.finditer(r"(new\s+)?((?:[A-Za-z_$][\w$]*\.)*)([A-Za-z_$][\w$]*)\s*\(", line):
             if m[3] not in _WORDS:
                 out["calls"].append((caller, m[3], m[2].rstrip(".") or None, i))

@@ -40,7 +40,8 @@ def empty(spark: SparkSession, ddl: str) -> DataFrame:
 
 
 class GraphStore:
-    """Tables of one graph under root/<version>/<table>; root/CURRENT names the version that readers see.
+    """Tables of one graph. A version is a folder with its own tables and a manifest that names the folder of each table,
+    so that unchanged tables are shared; root/CURRENT names the version that readers see, and is replaced in one step.
 
     A missing table reads as an empty one of its declared schema.
     """
@@ -60,33 +61,43 @@ class GraphStore:
         return "\n".join(r.value for r in self.spark.read.text(str(path)).collect())
 
     def _write_text(self, name: str, text: str) -> None:
+        context = self.spark.sparkContext
+        jvm = context._jvm
         path, fs = self._path(f"{self.root}/{name}.tmp")
         out = fs.create(path, True)
         out.write(bytearray(text.encode()))
         out.close()
         target, _ = self._path(f"{self.root}/{name}")
-        fs.delete(target, False)
-        fs.rename(path, target)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = context._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(path).toUri(), context._jsc.hadoopConfiguration())
+        files.rename(fs.makeQualified(path), fs.makeQualified(target), options)
 
     def version(self) -> str | None:
         return self._read_text("CURRENT")
 
-    def read(self, table: str) -> DataFrame:
+    def manifest(self) -> dict:
+        """{tables: {table: folder}, state: {...}} of the current version."""
         version = self.version()
-        if version:
-            path, fs = self._path(f"{self.root}/{version}/{table}")
-            if fs.exists(path):
-                return self.spark.read.parquet(str(path))
-        return empty(self.spark, schema.TABLES[table])
-
-    def write(self, tables: dict[str, DataFrame], version: str | None = None) -> str:
-        """Write a new version (tables not given are carried over), then move the pointer."""
+        return json.loads(self._read_text(f"{version}/MANIFEST.json") or "{}") if version else {}
+
+    def state(self) -> dict:
+        """What was written with the current version, and became visible with it."""
+        return self.manifest().get("state", {})
+
+    def read(self, table: str) -> DataFrame:
+        folder = self.manifest().get("tables", {}).get(table)
+        return self.spark.read.parquet(f"{self.root}/{folder}/{table}") if folder else empty(self.spark, schema.TABLES[table])
+
+    def write(self, tables: dict[str, DataFrame], version: str | None = None, state: dict | None = None) -> str:
+        """Write a new version, in which tables not given are those of the one before, then move the pointer."""
         version = version or f"v-{uuid.uuid4().hex[:12]}"
-        before = self.version()
-        for name in schema.TABLES:
-            if name in tables or before:
-                df = tables.get(name)
-                (self.read(name) if df is None else df).write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
+        folders = dict(self.manifest().get("tables", {}))
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
+            folders[name] = version
+        self._write_text(f"{version}/MANIFEST.json", json.dumps({"tables": folders, "state": state or {}}, sort_keys=True))
         self._write_text("CURRENT", version)
         return version
 

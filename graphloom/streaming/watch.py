@@ -1,7 +1,8 @@
 """Incremental maintenance with Structured Streaming.
 
-The latest content of each file wins; a micro-batch rebuilds its files, replaces their rows, and moves the store's
-pointer. The checkpoint is the journal, and batches that were applied are remembered, so a replay changes nothing.
+The latest content of each file wins. A micro-batch compares hashes with the store, parses the files that changed, links
+them and what they touch, and writes a new version; events come first, the pointer last, and the number of the batch is
+part of the version, so a crash at any point leaves the version before and the replay does it all again.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import diff_symbols
-from ..plans.build import build
+from ..plans.build import build, rebuild
 from ..sources.parse import parse
-from ..storage import GraphStore, empty
+from ..storage import GraphStore, cut, empty
 
 
 def latest(batch: DataFrame) -> DataFrame:
@@ -22,21 +23,64 @@ def latest(batch: DataFrame) -> DataFrame:
 
 
 def apply_batch(store: GraphStore, batch: DataFrame, batch_id: int, sources: str) -> None:
-    """Rows 312-314: current sources are kept beside the store, so that edges into changed files are linked anew."""
-    if batch_id <= store.meta().get("last_batch", -1):
+    """Rows 312-317: nothing is done for a batch that was applied, or whose files are all as they were; sources holds the
+    folder of events. A store without facts, as an interrupted first build leaves it, is built from the batch."""
+    state = store.state()
+    if batch_id <= state.get("last_batch", -1):
         return
-    spark = batch.sparkSession
-    fresh = latest(batch)
-    known = spark.read.parquet(f"{sources}/{store.meta()['sources']}") if store.meta().get("sources") else empty(spark, "file string, content binary, hash string, mtime long, size long")
-    name = f"batch-{batch_id}"
-    kept = known.join(fresh.select("file"), "file", "left_anti").unionByName(fresh.filter("content IS NOT NULL").select(known.columns))
-    kept.write.mode("overwrite").parquet(f"{sources}/{name}")
-    files = spark.read.parquet(f"{sources}/{name}")
+    fresh = cut(latest(batch))
+    known = store.read("file_hashes")
+    was = known.select("file", F.col("hash").alias("was"))
+    removed = fresh.filter("content IS NULL").join(was, "file", "left_semi").select("file")
+    written = fresh.filter("content IS NOT NULL").join(was, "file", "left").filter("was IS NULL OR was <> hash").drop("was")
+    changed = cut(removed.unionByName(written.select("file")))
+    state = state | {"last_batch": batch_id}
+    if changed.isEmpty():
+        store.write({}, f"v-{batch_id}", state)
+        return
+    written = fresh.join(changed.join(removed, "file", "left_anti"), "file", "left_semi")
+    facts = cut(parse(written))
     before = store.read("nodes")
-    tables = build(files, parse(files))
-    store.write(tables, f"v-{batch_id}")
-    store.set_meta(sources=name, last_batch=batch_id)
-    events(before, tables["nodes"], fresh).write.mode("overwrite").json(f"{sources}/events/batch={batch_id}")
+    files = known.join(changed, "file", "left_anti").unionByName(written.select("file", "hash", "mtime", "size"))
+    if store.version() is None:
+        tables = build(written, facts)
+    else:
+        old = {t: store.read(t) for t in ("nodes", "edges", "facts", "dataflow", "function_complexity", "cfg_blocks", "cfg_edges", "ast_nodes")}
+        tables = rebuild(old, files, changed, facts)
+    events(before, tables["nodes"], changed).write.mode("overwrite").json(f"{sources}/events/batch={batch_id}")
+    store.write(tables, f"v-{batch_id}", state)
+
+
+def append_journal(store: GraphStore, entries: DataFrame, stamp: int) -> None:
+    """Rows 319-320: entries (file, removed) of one moment, in a folder of the journal named by it; written again, they are
+    the same."""
+    entries.select("file", "removed").write.mode("overwrite").parquet(f"{store.root}/journal/seq={stamp}")
+
+
+def read_journal(store: GraphStore, since: int = -1) -> DataFrame:
+    """(file, removed, seq) of the journal's entries after a moment."""
+    path, fs = store._path(f"{store.root}/journal")
+    if not fs.exists(path):
+        return empty(store.spark, "file string, removed boolean, seq int")
+    return store.spark.read.parquet(f"{store.root}/journal").filter(F.col("seq") > since)
+
+
+def expire_events(store: GraphStore, sources: str, keep: int = 100) -> int:
+    """Row 38: the events of all but the last `keep` batches go; returns how many folders did."""
+    path, fs = store._path(f"{sources}/events")
+    last, gone = store.state().get("last_batch", -1), 0
+    for status in fs.listStatus(path) if fs.exists(path) else ():
+        number = status.getPath().getName().removeprefix("batch=")
+        if number.isdigit() and int(number) <= last - keep:
+            gone += bool(fs.delete(status.getPath(), True))
+    return gone
+
+
+def drift(store: GraphStore, files: DataFrame) -> DataFrame:
+    """Row 318: (file, drift): where the store and the files (file, hash) that there are differ: missing, stale, removed."""
+    known = store.read("file_hashes").select("file", F.col("hash").alias("was"))
+    state = F.when(F.col("was").isNull(), "missing").when(F.col("hash").isNull(), "removed").when(F.col("was") != F.col("hash"), "stale")
+    return files.select("file", "hash").join(known, "file", "full").select("file", state.alias("drift")).filter("drift IS NOT NULL")
 
 
 def events(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
@@ -54,3 +98,15 @@ def watch(stream: DataFrame, store: GraphStore, sources: str, checkpoint: str, i
 def windowed_counts(events_: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Changes a type and window of event time; late rows beyond the watermark are dropped by Spark."""
     return events_.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def poll(store: GraphStore, files: DataFrame, sources: str) -> bool:
+    """Row 310: one turn of a polling watcher without a stream: files is a scan (file, content, hash, mtime, size) of the
+    whole tree; what differs from the store becomes the next batch. Says whether anything did."""
+    differs = cut(drift(store, files))
+    if differs.isEmpty():
+        return False
+    gone = differs.filter("drift = 'removed'").select("file", F.lit(None).cast("binary").alias("content"), F.lit("").alias("hash"), F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"))
+    batch = files.join(differs.select("file"), "file", "left_semi").select("file", "content", "hash", "mtime", "size").unionByName(gone)
+    apply_batch(store, batch, store.state().get("last_batch", -1) + 1, sources)
+    return True

@@ -50,7 +50,7 @@ JS = "import { helper } from './lib/helper.js';\nexport function start(a) {\n  r
 
 @pytest.fixture()
 def tree(tmp_path):
-    for name, text in {"zoo/base.py": BASE, "zoo/main.py": MAIN, "zoo/util.py": UTIL, "zoo/broken.py": "def (", "app.js": JS, "lib/helper.js": "export const helper = (a) => a;\n", "node_modules/x.js": "function no() {}\n", "notes.txt": "x"}.items():
+    for name, text in {"zoo/base.py": BASE, "zoo/main.py": MAIN, "zoo/util.py": UTIL, "zoo/__init__.py": "ZOO = 1\n", "zoo/broken.py": "def (", "app.js": JS, "lib/helper.js": "export const helper = (a) => a;\n", "node_modules/x.js": "function no() {}\n", "notes.txt": "x"}.items():
         (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "src" / name).write_text(text)
     return tmp_path
@@ -58,9 +58,17 @@ def tree(tmp_path):
 
 def test_build(spark, tree):
     files = src.scan_tree(spark, str(tree / "src"))
-    assert sorted(r.file for r in files.select("file").collect()) == ["app.js", "lib/helper.js", "zoo/base.py", "zoo/broken.py", "zoo/main.py", "zoo/util.py"]
+    assert sorted(r.file for r in files.select("file").collect()) == ["app.js", "lib/helper.js", "zoo/__init__.py", "zoo/base.py", "zoo/broken.py", "zoo/main.py", "zoo/util.py"]
     facts = parse(files)
     assert {r.file: r.error is None for r in facts.select("file", "error").collect()}["zoo/broken.py"] is False
+    (tree / "src" / ".gitignore").write_text("# none\n*.tmp.py\n/zoo/util.py\n!zoo/keep.tmp.py\nlib/\n")
+    for name in ("zoo/a.tmp.py", "zoo/keep.tmp.py"):
+        (tree / "src" / name).write_text("")
+    (tree / "src" / "zoo" / "loop").symlink_to(tree / "src")
+    again = src.scan_tree(spark, str(tree / "src"))
+    assert sorted(r.file for r in again.select("file").collect()) == ["app.js", "zoo/__init__.py", "zoo/base.py", "zoo/broken.py", "zoo/keep.tmp.py", "zoo/main.py"]
+    journal = spark.createDataFrame([("app.js", True, 1), ("new.py", False, 2), ("app.js", False, 3), ("zoo/base.py", True, 4)], "file string, removed boolean, seq int")
+    assert sorted(r.file for r in src.fast_collect(again, journal).collect()) == ["app.js", "new.py", "zoo/__init__.py", "zoo/broken.py", "zoo/keep.tmp.py", "zoo/main.py"]
     tables = build(files, facts)
     names = {r.id: r.name for r in tables["nodes"].collect()}
     edges = {(names[r.source_id], names[r.target_id], r.kind, r.technique) for r in tables["edges"].collect()}
