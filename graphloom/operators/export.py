@@ -73,6 +73,26 @@ def sequence_messages(steps: DataFrame, edges: DataFrame, nodes: DataFrame) -> D
     return rows.select("depth", "from_file", "to_file", "message").distinct()
 
 
+def sequence_mermaid(messages: DataFrame) -> DataFrame:
+    """Row 418: lines (at, line) of a Mermaid sequence diagram of sequence_messages(): participants, then messages by depth."""
+    who = lambda c: F.concat(F.lit("p"), F.hex(F.xxhash64(c)))
+    files = messages.select(F.explode(F.array("from_file", "to_file")).alias("file")).distinct()
+    head = messages.sparkSession.createDataFrame([("0", "sequenceDiagram")], "at string, line string")
+    rows = head.unionByName(files.select(F.concat(F.lit("1"), "file").alias("at"), F.concat(F.lit("    participant "), who("file"), F.lit(" as "), "file").alias("line")))
+    place = F.concat(F.lit("2"), F.lpad(F.col("depth").cast("string"), 9, "0"), "from_file", "to_file", "message")
+    return rows.unionByName(messages.select(place.alias("at"), F.concat(F.lit("    "), who("from_file"), F.lit("->>"), who("to_file"), F.lit(": "), "message").alias("line")))
+
+
+def function_edges(edges: DataFrame, nodes: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """Row 333: (source_name, source_file, target_name, target_file, kind, confidence) of calls between symbols, each pair
+    of symbols once, with its surest call."""
+    from .lookup import with_ends
+
+    own = with_ends(edges.filter("kind = 'calls'"), nodes, "name", "file").filter(F.coalesce("confidence", F.lit(0.0)) >= min_confidence)
+    best = own.groupBy("source_id", "target_id", "source_name", "source_file", "target_name", "target_file", "kind").agg(F.max("confidence").alias("confidence"))
+    return best.drop("source_id", "target_id")
+
+
 def aliases(files: list[str]) -> dict[str, str]:
     """Row 180: the shortest trailing path, up to ten segments, that no other file shares; else the whole path."""
     out = {f: f for f in files}
@@ -83,6 +103,26 @@ def aliases(files: list[str]) -> dict[str, str]:
     return out
 
 
+_PAGE = """<!DOCTYPE html><meta charset="utf-8"><title>Graph</title><svg id="g" viewBox="-520 -520 1040 1040" style="width:100%;height:95vh"></svg><script>
+const d=DATA,s=document.getElementById("g"),at={},n=d.nodes.length;const put=(t,a,x)=>{const e=document.createElementNS("http://www.w3.org/2000/svg",t);for(const k in a)e.setAttribute(k,a[k]);if(x)e.append(x);s.append(e)};
+d.nodes.forEach((v,i)=>at[v.id]=[480*Math.cos(6.2832*i/n),480*Math.sin(6.2832*i/n)]);d.edges.forEach(([a,b])=>put("line",{x1:at[a][0],y1:at[a][1],x2:at[b][0],y2:at[b][1],stroke:"#bbb","stroke-width":.5}));
+d.nodes.forEach(v=>{put("circle",{cx:at[v.id][0],cy:at[v.id][1],r:2+Math.min(10,v.degree/3),fill:"#47a"});put("text",{x:at[v.id][0]+4,y:at[v.id][1],"font-size":9},v.name)})</script>
+"""
+
+
+def html_page(nodes: DataFrame, edges: DataFrame, limit: int = 300) -> str:
+    """Row 419: one page that draws the `limit` symbols with most edges and the edges among them."""
+    import json
+
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    top = ends.join(nodes.select("id", "name"), "id").orderBy(F.col("degree").desc(), "id").limit(limit)
+    own = [r.asDict() for r in top.collect()]
+    ids = nodes.sparkSession.createDataFrame([(r["id"],) for r in own], f"id {dict(nodes.dtypes)['id']}")
+    inner = edges.select("source_id", "target_id").distinct().join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    drawn = [[r.source_id, r.target_id] for r in inner.collect()]  # at most limit * limit
+    return _PAGE.replace("DATA", json.dumps({"nodes": own, "edges": drawn}).replace("<", "\\u003c"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

@@ -45,13 +45,23 @@ def file_deps(nodes: DataFrame, edges: DataFrame, file: str) -> DataFrame:
     )
 
 
-def fn_deps(nodes: DataFrame, edges: DataFrame, part: str, max_depth: int = 3) -> DataFrame:
-    """Rows 169-170: (id, relation, depth, other_id): callees, and callers by depth, of the symbols that match."""
+def fn_deps(nodes: DataFrame, edges: DataFrame, part: str, max_depth: int = 3, hierarchy: bool = False) -> DataFrame:
+    """Rows 169-170: (id, relation, depth, other_id): callees, and callers by depth, of the symbols that match. With
+    hierarchy, also callers of the same method of classes above: those may mean this one."""
     roots = lookup.NodeQuery(nodes).kinds(*CALLABLE).name_like(part).df.select("id")
     calls = lookup.simple_graph(edges)
     callees = calls.join(roots.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("source_id").alias("id"), F.lit(1).alias("depth"), F.col("target_id").alias("other_id"))
     callers = traverse.impact(calls, roots, max_depth).select(F.col("root").alias("id"), "depth", F.col("node").alias("other_id"))
-    return _stack({"callee": callees, "caller": callers}, "relation")
+    parts = {"callee": callees, "caller": callers}
+    if hierarchy:
+        owner, bare = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1), F.element_at(F.split("name", r"\."), -1)
+        methods = nodes.filter("kind = 'method'").select("id", owner.alias("owner"), bare.alias("bare"))
+        types = nodes.filter(F.col("kind").isin("class", "interface", "trait", "struct")).select(F.col("id").alias("type_id"), F.col("name").alias("owner"))
+        mine = methods.join(roots, "id", "left_semi").join(types, "owner").select("id", "bare", F.col("type_id").alias("node_id"))
+        up = traverse.ancestors(edges, ("extends", "implements")).select("node_id", "ancestor_id")
+        above = mine.join(up, "node_id").join(types.select(F.col("type_id").alias("ancestor_id"), "owner"), "ancestor_id").join(methods.withColumnRenamed("id", "target_id"), ["owner", "bare"])
+        parts["caller via hierarchy"] = above.select("id", "target_id").distinct().join(calls, "target_id").select("id", F.lit(1).alias("depth"), F.col("source_id").alias("other_id")).distinct()
+    return _stack(parts, "relation")
 
 
 def brief(nodes: DataFrame, edges: DataFrame, files: DataFrame, max_depth: int = 5, high: int = 10, medium: int = 3) -> DataFrame:
@@ -67,8 +77,9 @@ def brief(nodes: DataFrame, edges: DataFrame, files: DataFrame, max_depth: int =
     return out.select("file", zero("symbols").alias("symbols"), zero("callers").alias("callers"), zero("importers").alias("importers"), S.risk_tier(zero("most"), zero("core") == 1, high, medium).alias("risk"))
 
 
-def diff_impact(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, max_depth: int = 3, owned: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """Row 176: (relation, name): changed functions, functions and files they affect, and, given, owners and co-changed files."""
+def diff_impact(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, max_depth: int = 3, owned: DataFrame | None = None, pairs: DataFrame | None = None, boundaries: dict | None = None) -> DataFrame:
+    """Row 176: (relation, name): changed functions, functions and files they affect, and, given, owners, co-changed files
+    and the boundaries that changed files break."""
     hit = lookup.affected(nodes, hunks).filter(F.col("kind").isin(*CALLABLE))
     reached = traverse.impact(lookup.simple_graph(edges), hit.select("id"), max_depth).select(F.col("node").alias("id")).distinct().join(nodes.select("id", "name", "file"), "id")
     files = reached.select(F.col("file").alias("name")).distinct()
@@ -79,6 +90,9 @@ def diff_impact(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, max_depth:
         changed = hunks.select("file").distinct()
         both = pairs.select(F.explode(F.array(F.struct(F.col("file_a").alias("file"), F.col("file_b").alias("name")), F.struct(F.col("file_b").alias("file"), F.col("file_a").alias("name")))).alias("p")).select("p.*")
         parts["co_changed"] = both.join(changed, "file", "left_semi").select("name").distinct()
+    if boundaries is not None:
+        own = lookup.file_edges(edges, nodes).join(hunks.select(F.col("file").alias("source_file")).distinct(), "source_file", "left_semi")
+        parts["boundary"] = rules.boundary_violations(own, boundaries).select(F.concat_ws(" -> ", "source_file", "target_file").alias("name")).distinct()
     return _stack(parts, "relation")
 
 
@@ -90,6 +104,19 @@ def exports(nodes: DataFrame, edges: DataFrame, file: str) -> DataFrame:
     return rows.withColumn("used", F.col("consumers") > 0)
 
 
+def exports_through(nodes: DataFrame, edges: DataFrame, reexports: DataFrame, file: str) -> DataFrame:
+    """Row 223 for barrels: (name, from_file, consumers): what a file exports itself or passes on, with the consumers of
+    the definition."""
+    own = nodes.filter((F.col("file") == file) & (F.col("exported") == 1)).select("name", F.col("file").alias("from_file"), F.col("name").alias("def_name"))
+    passed = reexports.filter(F.col("file") == file)
+    named = passed.filter("name <> '*'").select("name", F.col("source_file").alias("from_file"), F.col("source_name").alias("def_name"))
+    every = nodes.filter("exported = 1").select(F.col("file").alias("from_file"), "name", F.col("name").alias("def_name")).join(passed.filter("name = '*'").select(F.col("source_file").alias("from_file")), "from_file", "left_semi")
+    counts = lookup.external_consumers(edges, nodes).filter(F.col("consumer_file") != file).groupBy("id").agg(F.count(F.lit(1)).alias("consumers"))
+    defs = nodes.filter("kind <> 'file'").select("id", F.col("file").alias("from_file"), F.col("name").alias("def_name")).join(counts, "id", "left")
+    rows = own.unionByName(named).unionByName(every.select("name", "from_file", "def_name")).distinct().join(defs, ["from_file", "def_name"], "left")
+    return rows.select("name", "from_file", F.coalesce("consumers", F.lit(0)).alias("consumers")).distinct()
+
+
 def reexported(nodes: DataFrame, reexports: DataFrame, file: str) -> DataFrame:
     """Row 224: (name, from_file): all exports behind a wildcard, the named ones otherwise; reexports as for barrels."""
     own = reexports.filter(F.col("file") == file).select(F.col("name").alias("as_name"), "source_file", "source_name")
@@ -113,33 +140,41 @@ def module_boundaries(nodes: DataFrame, edges: DataFrame, threshold: float = 0.3
     return structure(nodes, edges).filter(F.col("cohesion") >= threshold)
 
 
+def compare_symbols(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Row 387: (kind, file, name, id, line, fan_in, fan_out) of a graph's symbols, of some files (file) if given; of
+    symbols alike in the first three the last."""
+    n = nodes.filter(F.col("kind") != "file")
+    n = n if files is None else n.join(files, "file", "left_semi")
+    rows = lookup.NodeQuery(n, edges).with_fan_in().with_fan_out().df
+    return rows.groupBy("kind", "file", "name").agg(F.max("id").alias("id"), F.max("line").alias("line"), F.max("fan_in").alias("fan_in"), F.max("fan_out").alias("fan_out"))
+
+
+def compare_callers(edges: DataFrame, ids: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Rows 183, 388: (root, node, depth): callers of each of many symbols (id), to a depth."""
+    return traverse.impact(lookup.simple_graph(edges), ids.select("id"), max_depth)
+
+
 def branch_compare(base: tuple[DataFrame, DataFrame], target: tuple[DataFrame, DataFrame], files: DataFrame | None = None, max_depth: int = 3) -> DataFrame:
     """Row 154: (change, kind, file, name, impact): symbols added, removed or changed between two graphs, with the
     transitive callers in the graph that has them."""
-
-    def own(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        n = nodes.filter(F.col("kind") != "file")
-        n = n if files is None else n.join(files, "file", "left_semi")
-        rows = lookup.NodeQuery(n, edges).with_fan_in().with_fan_out().df
-        return rows.groupBy("kind", "file", "name").agg(F.max("id").alias("id"), F.max("line").alias("line"), F.max("fan_in").alias("fan_in"), F.max("fan_out").alias("fan_out"))
-
-    b, t = own(*base), own(*target)
+    b, t = compare_symbols(*base, files), compare_symbols(*target, files)
     keys = ["kind", "file", "name"]
     parts = {"added": changes.added(b, t).select(*keys, "id"), "removed": changes.removed(b, t).select(*keys, "id"), "changed": changes.changed(b, t).select(*keys).join(t, keys).select(*keys, "id")}
     out = []
     for change, rows in parts.items():
-        calls = lookup.simple_graph((base if change == "removed" else target)[1])
-        n = traverse.impact(calls, rows.select("id"), max_depth).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("impact"))
+        n = compare_callers((base if change == "removed" else target)[1], rows, max_depth).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("impact"))
         out.append(rows.join(n, "id", "left").select(F.lit(change).alias("change"), *keys, F.coalesce("impact", F.lit(0)).alias("impact")))
     return reduce(lambda a, c: a.unionByName(c), out)
 
 
-def audit(nodes: DataFrame, edges: DataFrame, complexity: DataFrame, part: str, thresholds: dict[str, float], max_depth: int = 3) -> DataFrame:
-    """Rows 226-227: matching symbols with callees, callers, impact, complexity and the thresholds they break."""
+def audit(nodes: DataFrame, edges: DataFrame, complexity: DataFrame, part: str, thresholds: dict[str, float], max_depth: int = 3, explain: bool = False) -> DataFrame:
+    """Rows 226-227: matching symbols with callees, callers, impact, complexity and the thresholds they break; with explain
+    also the lists of context()."""
     own = lookup.NodeQuery(nodes, edges).kinds(*CALLABLE).name_like(part).with_fan_in().with_fan_out().df.select("id", "name", "file", "fan_in", "fan_out")
     reached = traverse.impact(lookup.simple_graph(edges), own.select("id"), max_depth).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("impact"))
     health = metrics.complexity_report(complexity, thresholds).select(F.col("node_id").alias("id"), "cognitive", "cyclomatic", "maintainability_index", "exceeds")
-    return own.join(reached, "id", "left").join(health, "id", "left").withColumns({"impact": F.coalesce("impact", F.lit(0)), "exceeds": F.coalesce("exceeds", F.lit(""))})
+    rows = own.join(reached, "id", "left").join(health, "id", "left").withColumns({"impact": F.coalesce("impact", F.lit(0)), "exceeds": F.coalesce("exceeds", F.lit(""))})
+    return rows.join(context(nodes, edges, part).drop("name", "file", "kind", "line"), "id", "left") if explain else rows
 
 
 def context(nodes: DataFrame, edges: DataFrame, part: str) -> DataFrame:

@@ -110,10 +110,11 @@ def boundary_violations(pairs: DataFrame, config: dict) -> DataFrame:
     return rows.select("source_file", "target_file", "from_module", "to_module", F.explode(found).alias("rule"))
 
 
-def check_cycles(pairs: DataFrame, changed: list[str]) -> DataFrame:
-    """Row 216: file cycles that hold a changed file; pairs has (source_file, target_file)."""
+def check_cycles(pairs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Row 216: file cycles that hold a changed file (file); pairs has (source_file, target_file)."""
     found = cycles(pairs.select(F.col("source_file").alias("source_id"), F.col("target_file").alias("target_id")))
-    return found.filter(F.arrays_overlap("members", F.array(*map(F.lit, changed)))) if changed else found.limit(0)
+    held = found.select("component", F.explode("members").alias("file")).join(changed.select("file"), "file", "left_semi")
+    return found.join(held.select("component"), "component", "left_semi")
 
 
 def check_blast_radius(nodes: DataFrame, edges: DataFrame, hunks: DataFrame, threshold: int, max_depth: int = 3) -> DataFrame:
@@ -145,19 +146,21 @@ def check_deleted_exports(nodes: DataFrame, edges: DataFrame, deleted: DataFrame
     return gone.select(F.col("target_id").alias("id"), F.col("target_name").alias("name"), F.col("target_file").alias("file"), F.col("source_name").alias("consumer_name"), F.col("source_file").alias("consumer_file")).distinct()
 
 
-def check_all(spark: SparkSession, nodes: DataFrame, edges: DataFrame, hunks: DataFrame, deleted: DataFrame, blast: int = 20, boundaries: dict | None = None) -> DataFrame:
-    """Row 222: (predicate, violations, passed)."""
+def check_all(spark: SparkSession, nodes: DataFrame, edges: DataFrame, hunks: DataFrame, deleted: DataFrame, blast: int = 20, boundaries: dict | None = None, owned: DataFrame | None = None) -> DataFrame:
+    """Rows 221-222: (predicate, violations, passed); owned has (file, owners)."""
     pairs = file_edges(edges, nodes)
     changed = hunks.select("file").distinct()
-    touched = [r.file for r in changed.collect()]  # files of one diff
     parts = {
-        "cycles": check_cycles(pairs, touched),
+        "cycles": check_cycles(pairs, changed),
         "blast-radius": check_blast_radius(nodes, edges, hunks, blast),
         "signatures": check_signatures(nodes, hunks),
         "deleted-exports": check_deleted_exports(nodes, edges, deleted),
     }
     if boundaries:
         parts["boundaries"] = boundary_violations(pairs.join(changed.withColumnRenamed("file", "source_file"), "source_file", "left_semi"), boundaries)
+    if owned is not None:
+        ends = owner_boundaries(edges, nodes, owned).join(nodes.select(F.col("id").alias("source_id"), "file"), "source_id")
+        parts["owner-boundaries"] = ends.join(changed, "file", "left_semi")
     out = None
     for name, df in parts.items():
         row = df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("predicate"), "violations", (F.col("violations") == 0).alias("passed"))

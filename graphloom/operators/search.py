@@ -37,10 +37,45 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(idf * weight).alias("score"))
 
 
+#: Numbers of the query vectors that go to the executors at a time (some 32 MB).
+BLOCK = 1 << 22
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, min_score: float = 0.2) -> DataFrame:
-    """Row 326: (query, id, score) of the vectors near each query vector (query, q); queries are a stated, small set."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(queries))
-    return rows.select("query", "id", S.cosine(F.col("v"), F.col("q")).alias("score")).filter(F.col("score") >= min_score)
+    """Row 326: (query, id, score) of the vectors near each query vector (query, q). Queries are a stated set, counted and
+    broadcast in blocks of BLOCK numbers."""
+    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    out = None
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        rows = own.crossJoin(F.broadcast(part)).select("query", "id", S.cosine(F.col("v"), F.col("q")).alias("score")).filter(F.col("score") >= min_score)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def post_filter(hits: DataFrame, nodes: DataFrame, kind: str | None = None, files: tuple[str, ...] = (), globs: tuple[str, ...] = (), tests: bool = True) -> DataFrame:
+    """Rows 58-59: the hits (id, ...) whose symbols are of a kind, in paths that hold one of files or match one of globs,
+    and, without tests, not in test files."""
+    own = nodes if kind is None else nodes.filter(F.col("kind") == kind)
+    own = own.filter(S.file_filter(F.col("file"), list(files))) if files else own
+    own = own.filter(S.matches_any(F.col("file"), list(globs))) if globs else own
+    own = own if tests else own.filter(~S.is_test_path(F.col("file")))
+    return hits.join(own.select("id"), "id", "left_semi")
+
+
+def keyword_hits(nodes: DataFrame, texts: DataFrame, query: str, limit: int = 15, **filters) -> DataFrame:
+    """Row 325: (id, score) of the `limit` best symbols by name and content; texts has (id, text). Five times as many are
+    fetched and then filtered as post_filter() does."""
+    own = nodes.select("id", "name").join(texts.select("id", "text"), "id", "left").select("id", F.concat_ws(" ", S.split_identifier(F.col("name")), "name", "text").alias("text"))
+    hits = bm25(own, "id", "text", query).orderBy(F.col("score").desc(), "id").limit(5 * limit)
+    return post_filter(hits, nodes, **filters).orderBy(F.col("score").desc(), "id").limit(limit)
+
+
+def split_queries(text: str) -> list[str]:
+    """Row 328: the queries of a text with semicolons between them."""
+    return [q.strip() for q in text.split(";") if q.strip()]
 
 
 def ranked(scores: DataFrame, limit: int | None = None) -> DataFrame:

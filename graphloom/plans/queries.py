@@ -103,9 +103,9 @@ def _(n, e, spark, d):
     return lookup.simple_graph(e, min_confidence=0.5)
 
 
-@query("subgraph_edges", "SELECT source_id, target_id, count(*) AS n FROM edges WHERE source_id % 3 = 0 AND target_id % 3 = 0 AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) GROUP BY ALL")
+@query("subgraph_edges", "SELECT e.source_id, e.target_id, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id WHERE a.kind IN ('function', 'method') AND b.kind IN ('function', 'method') GROUP BY ALL")
 def _(n, e, spark, d):
-    return lookup.subgraph(n, e, F.col("id") % 3 == 0)[1].groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
+    return lookup.subgraph(n, e, F.col("kind").isin("function", "method"))[1].groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # 2.C joins
@@ -352,26 +352,26 @@ def _(n, e, spark, d):
     return changes.changed(*_sides(n), columns=("line",))
 
 
-@query("reverse_dependencies", "SELECT DISTINCT source_file AS file FROM pairs WHERE target_file IN (SELECT file FROM nodes WHERE id % 200 = 1) AND source_file NOT IN (SELECT file FROM nodes WHERE id % 200 = 1)", extra=_IMPORTS)
+@query("reverse_dependencies", "SELECT DISTINCT source_file AS file FROM pairs WHERE target_file IN (SELECT file FROM nodes WHERE id % 100 = 0) AND source_file NOT IN (SELECT file FROM nodes WHERE id % 100 = 0)", extra=_IMPORTS)
 def _(n, e, spark, d):
-    return traverse.reverse_dependencies(lookup.file_edges(e, n), n.filter("id % 200 = 1").select("file").distinct())
+    return traverse.reverse_dependencies(lookup.file_edges(e, n), n.filter("id % 100 = 0").select("file").distinct())
 
 
 # 2.H traversal
 
 
-_BFS = "walk AS (SELECT id AS root, id AS node, 0 AS depth FROM nodes WHERE id % 400 = 5 UNION SELECT w.root, c.{1}, w.depth + 1 FROM walk w JOIN {2} c ON c.{0} = w.node WHERE w.depth < {3})"
+_BFS = "walk AS (SELECT id AS root, id AS node, 0 AS depth FROM nodes WHERE id % 100 = 0 UNION SELECT w.root, c.{1}, w.depth + 1 FROM walk w JOIN {2} c ON c.{0} = w.node WHERE w.depth < {3})"
 
 
 @query("bfs_forward", "SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY 1, 2", extra=f"{_CALLS}, " + _BFS.format("source_id", "target_id", "calls", 3))
 def _(n, e, spark, d):
-    starts = n.filter("id % 400 = 5").select(F.col("id").alias("root"), F.col("id").alias("node"))
+    starts = n.filter("id % 100 = 0").select(F.col("id").alias("root"), F.col("id").alias("node"))
     return traverse.reach(lookup.simple_graph(e), starts, 3).select("root", "node", "depth")
 
 
 @query("fn_impact", "SELECT root, depth, count(*) AS n FROM (SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY 1, 2) WHERE depth > 0 GROUP BY 1, 2", extra=f"{_CALLS}, " + _BFS.format("target_id", "source_id", "calls", 3))
 def _(n, e, spark, d):
-    roots = n.filter("id % 400 = 5").select("id")
+    roots = n.filter("id % 100 = 0").select("id")
     return traverse.impact(e.filter("kind = 'calls'"), roots, 3).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -404,9 +404,9 @@ def _(n, e, spark, d):
     return cycles.cycles(star.successors(spark, d)).select("component", "size", F.array_join("members", ",").alias("members"))
 
 
-@query("connected_components", "SELECT a AS node, min(b) AS component FROM walk GROUP BY 1", extra=f"{star.SUCCESSORS}, und AS (SELECT source_id AS a, target_id AS b FROM succ WHERE source_id % 3 = 0 UNION SELECT target_id, source_id FROM succ WHERE source_id % 3 = 0), walk AS (SELECT a, b FROM und UNION SELECT a, a FROM und UNION SELECT w.a, u.b FROM walk w JOIN und u ON u.a = w.b)")
+@query("connected_components", "SELECT a AS node, min(b) AS component FROM walk GROUP BY 1", extra=f"{star.SUCCESSORS}, und AS (SELECT source_id AS a, target_id AS b FROM succ UNION SELECT target_id, source_id FROM succ), walk AS (SELECT a, b FROM und UNION SELECT a, a FROM und UNION SELECT w.a, u.b FROM walk w JOIN und u ON u.a = w.b)")
 def _(n, e, spark, d):
-    return cycles.connected(star.successors(spark, d).filter("source_id % 3 = 0"))
+    return cycles.connected(star.successors(spark, d))
 
 
 @query("modularity", "SELECT round(sum(coalesce(inn, 0) / m - (deg / (2 * m)) * (deg / (2 * m))), 6) AS quality FROM (SELECT c, sum(w) AS deg FROM (SELECT a % 5 AS c, w FROM up UNION ALL SELECT b % 5, w FROM up) GROUP BY 1) x LEFT JOIN (SELECT a % 5 AS c, sum(w) AS inn FROM up WHERE a % 5 = b % 5 GROUP BY 1) y USING (c), (SELECT CAST(sum(w) AS DOUBLE) AS m FROM up)", extra="up AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, count(*) AS w FROM edges GROUP BY 1, 2)")
@@ -425,27 +425,42 @@ def _(n, e, spark, d):
     return community.communities(lookup.simple_graph(e, ("imports",)))
 
 
-@query("drift", "SELECT CAST((SELECT count(*) FROM (SELECT directory FROM m GROUP BY 1 HAVING count(DISTINCT community) >= 2)) AS BIGINT) AS split_directories, CAST((SELECT count(*) FROM (SELECT community FROM m GROUP BY 1 HAVING count(DISTINCT directory) >= 2)) AS BIGINT) AS merge_communities, CAST(floor(((SELECT count(*) FROM (SELECT directory FROM m GROUP BY 1 HAVING count(DISTINCT community) >= 2)) / (SELECT count(DISTINCT directory) FROM m) + (SELECT count(*) FROM (SELECT community FROM m GROUP BY 1 HAVING count(DISTINCT directory) >= 2)) / (SELECT count(DISTINCT community) FROM m)) / 2 * 100 + 0.5) AS INT) AS drift_score", extra="m AS (SELECT DISTINCT p_size AS community, p_brand || (p_partkey % 20) AS directory FROM part WHERE p_size % 2 = 0)")
+@query("drift", "SELECT CAST((SELECT count(*) FROM (SELECT directory FROM m GROUP BY 1 HAVING count(DISTINCT community) >= 2)) AS BIGINT) AS split_directories, CAST((SELECT count(*) FROM (SELECT community FROM m GROUP BY 1 HAVING count(DISTINCT directory) >= 2)) AS BIGINT) AS merge_communities, CAST(floor(((SELECT count(*) FROM (SELECT directory FROM m GROUP BY 1 HAVING count(DISTINCT community) >= 2)) / (SELECT count(DISTINCT directory) FROM m) + (SELECT count(*) FROM (SELECT community FROM m GROUP BY 1 HAVING count(DISTINCT directory) >= 2)) / (SELECT count(DISTINCT community) FROM m)) / 2 * 100 + 0.5) AS INT) AS drift_score", extra="m AS (SELECT DISTINCT p_size AS community, p_brand || (p_partkey % 20) AS directory FROM part)")
 def _(n, e, spark, d):
-    own = star.table(spark, d, "part").filter("p_size % 2 = 0").selectExpr("p_size AS community", "concat(p_brand, p_partkey % 20) AS directory")
+    own = star.table(spark, d, "part").selectExpr("p_size AS community", "concat(p_brand, p_partkey % 20) AS directory")
     return community.drift(own)
 
 
 _ROLE = (
-    "uses AS (SELECT e.target_id AS id, count(*) AS fan_in, count(*) FILTER (NOT " + _TEST.format("s.file") + ") AS prod FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.kind IN ('calls', 'imports-type') GROUP BY 1), "
-    "own AS (SELECT n.*, coalesce(u.fan_in, 0) AS fan_in, coalesce(u.prod, 0) AS prod, coalesce(o.fan_out, 0) AS fan_out FROM nodes n LEFT JOIN uses u USING (id) LEFT JOIN fo o USING (id)), "
+    "uses AS (SELECT e.target_id AS id, count(*) AS fan_in, count(*) FILTER (NOT " + _TEST.format("s.file") + ") AS prod, bool_or(s.file <> t.file) AS crossed "
+    "FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.kind IN ('calls', 'imports-type') GROUP BY 1), "
+    "own AS (SELECT n.*, coalesce(u.fan_in, 0) AS fan_in, coalesce(u.prod, 0) AS prod, coalesce(o.fan_out, 0) AS fan_out, n.exported = 1 OR coalesce(u.crossed, false) AS pub "
+    "FROM nodes n LEFT JOIN uses u USING (id) LEFT JOIN fo o USING (id)), "
     "med AS (SELECT median(CASE WHEN fan_in > 0 THEN fan_in END) AS mi, median(CASE WHEN fan_out > 0 THEN fan_out END) AS mo FROM own), "
-    "act AS (SELECT DISTINCT file FROM own WHERE fan_in > 0 OR fan_out > 0)"
+    "busy AS (SELECT DISTINCT file FROM own WHERE kind NOT IN ('constant', 'interface') AND (fan_in > 0 OR fan_out > 0)), "
+    "called AS (SELECT DISTINCT file FROM own WHERE kind NOT IN ('constant', 'interface') AND fan_in > 0), "
+)
+_DEAD = "CASE WHEN kind = 'constant' THEN 'dead-leaf' WHEN file LIKE '%.rs' THEN 'dead-ffi' ELSE 'dead-unresolved' END"
+_ROLE += (
+    "roled AS (SELECT id, name, kind, file, exported, fan_in, fan_out, CASE WHEN name LIKE 'route:%' THEN 'entry' "
+    "WHEN fan_in = 0 AND NOT pub THEN CASE WHEN kind IN ('constant', 'interface') AND file IN (SELECT file FROM busy) THEN 'leaf' "
+    f"WHEN kind IN ('method', 'function') AND fan_out > 0 AND file IN (SELECT file FROM called) THEN 'leaf' ELSE {_DEAD} END "
+    "WHEN fan_in = 0 THEN CASE WHEN kind IN ('function', 'method') THEN 'entry' ELSE 'leaf' END WHEN prod = 0 AND NOT pub THEN 'test-only' "
+    "WHEN fan_in >= mi AND NOT (fan_out >= mo AND fan_out > 0) THEN 'core' WHEN fan_in >= mi THEN 'utility' WHEN fan_out >= mo AND fan_out > 0 THEN 'adapter' ELSE 'leaf' END AS role FROM own, med)"
+)
+_LIVE = (
+    "live AS (SELECT id FROM roled WHERE name LIKE 'route:%' OR (kind IN ('function', 'method') AND exported = 1) "
+    "UNION SELECT source_id FROM calls WHERE source_id NOT IN (SELECT id FROM roled WHERE kind IN ('function', 'method')) "
+    "UNION SELECT c.target_id FROM live l JOIN calls c ON c.source_id = l.id)"
 )
-_DEAD = "CASE WHEN kind IN ('parameter', 'property', 'constant') THEN 'dead-leaf' WHEN file LIKE '%.rs' THEN 'dead-ffi' ELSE 'dead-unresolved' END"
 
 
-@query("roles", f"SELECT id, fan_in, fan_out, CASE WHEN name LIKE 'route:%' THEN 'entry' WHEN fan_in = 0 AND exported = 0 THEN CASE WHEN file IN (SELECT file FROM act) AND (kind IN ('constant', 'interface') OR (kind IN ('method', 'function') AND fan_out > 0)) THEN 'leaf' ELSE {_DEAD} END WHEN fan_in = 0 THEN CASE WHEN kind IN ('function', 'method') THEN 'entry' ELSE 'leaf' END WHEN prod = 0 AND exported = 0 THEN 'test-only' WHEN fan_in >= mi AND NOT (fan_out >= mo AND fan_out > 0) THEN 'core' WHEN fan_in >= mi THEN 'utility' WHEN fan_out >= mo AND fan_out > 0 THEN 'adapter' ELSE 'leaf' END AS role FROM own, med", extra=f"{_FANIN}, {_ROLE}")
+@query("roles", "SELECT id, fan_in, fan_out, role FROM roled", extra=f"{_FANIN}, {_ROLE}")
 def _(n, e, spark, d):
     return roles.classify(roles.inputs(n, e)).select("id", "fan_in", "fan_out", "role")
 
 
-@query("roles_reachable")
+@query("roles_reachable", f"SELECT id, name, kind, file, fan_in, fan_out, CASE WHEN kind IN ('function', 'method') AND fan_in > 0 AND role IN ('core', 'utility', 'adapter', 'leaf') AND id NOT IN (SELECT id FROM live) THEN {_DEAD} ELSE role END AS role FROM roled", extra=f"{_FANIN}, {_CALLS}, {_ROLE}, {_LIVE}")
 def _(n, e, spark, d):
     return roles.classify(roles.inputs(n, e), e)
 
@@ -488,9 +503,9 @@ def _(n, e, spark, d):
     return reports.fn_deps(n, e, "c12", 2).select("id", "relation", "depth", "other_id")
 
 
-@query("brief", "SELECT f.file, coalesce(s.symbols, 0) AS symbols, CAST(coalesce(s.callers, 0) AS BIGINT) AS callers, coalesce(i.importers, 0) AS importers, CASE WHEN coalesce(most, 0) >= 10 OR coalesce(core, 0) = 1 THEN 'high' WHEN coalesce(most, 0) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM files f LEFT JOIN (SELECT file, count(*) AS symbols, sum(c) AS callers, max(c) AS most, max((role = 'core')::INT) AS core FROM (SELECT o.file, o.role, (SELECT count(DISTINCT node) FROM walk w WHERE w.root = o.id AND w.node <> o.id) AS c FROM own o) GROUP BY 1) s USING (file) LEFT JOIN (SELECT target_file AS file, count(*) AS importers FROM pairs GROUP BY 1) i USING (file)", extra=f"{_CALLS}, {_IMPORTS}, files AS (SELECT DISTINCT file FROM nodes WHERE id % 150 = 3), own AS (SELECT id, file, role FROM nodes WHERE kind IN ('function', 'method', 'class') AND file IN (SELECT file FROM files)), walk AS (SELECT id AS root, id AS node, 0 AS depth FROM own UNION SELECT w.root, c.source_id, w.depth + 1 FROM walk w JOIN calls c ON c.target_id = w.node WHERE w.depth < 1)")
+@query("brief", "SELECT f.file, coalesce(s.symbols, 0) AS symbols, CAST(coalesce(s.callers, 0) AS BIGINT) AS callers, coalesce(i.importers, 0) AS importers, CASE WHEN coalesce(most, 0) >= 10 OR coalesce(core, 0) = 1 THEN 'high' WHEN coalesce(most, 0) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM files f LEFT JOIN (SELECT file, count(*) AS symbols, sum(c) AS callers, max(c) AS most, max((role = 'core')::INT) AS core FROM (SELECT o.file, o.role, (SELECT count(DISTINCT node) FROM walk w WHERE w.root = o.id AND w.node <> o.id) AS c FROM own o) GROUP BY 1) s USING (file) LEFT JOIN (SELECT target_file AS file, count(*) AS importers FROM pairs GROUP BY 1) i USING (file)", extra=f"{_CALLS}, {_IMPORTS}, files AS (SELECT DISTINCT file FROM nodes WHERE id % 100 = 0), own AS (SELECT id, file, role FROM nodes WHERE kind IN ('function', 'method', 'class') AND file IN (SELECT file FROM files)), walk AS (SELECT id AS root, id AS node, 0 AS depth FROM own UNION SELECT w.root, c.source_id, w.depth + 1 FROM walk w JOIN calls c ON c.target_id = w.node WHERE w.depth < 1)")
 def _(n, e, spark, d):
-    return reports.brief(n, e, n.filter("id % 150 = 3").select("file").distinct(), 1)
+    return reports.brief(n, e, n.filter("id % 100 = 0").select("file").distinct(), 1)
 
 
 @query("structure", "SELECT d.directory, d.files, d.symbols, round(d.symbols / d.files, 6) AS density FROM (SELECT directory, count(*) AS files, CAST(sum(symbols) AS BIGINT) AS symbols FROM dirs JOIN (SELECT file, count(*) AS symbols FROM nodes GROUP BY 1) USING (file) GROUP BY 1) d WHERE d.directory <> 'src'", extra=_DIRS)
@@ -599,3 +614,6 @@ def _(n, e, spark, d):
 @query("directory_groups", "SELECT 'src/' || split_part(file, '/', 2) AS directory, string_agg(file, ',' ORDER BY file) AS files FROM (SELECT DISTINCT file FROM nodes) GROUP BY 1")
 def _(n, e, spark, d):
     return export.directory_groups(n).select("directory", F.array_join("files", ",").alias("files"))
+
+
+from . import detail_queries  # noqa: E402,F401  (registers more)

@@ -82,3 +82,28 @@ def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUCCESSORS = "succ AS (SELECT source_id, target_id FROM (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, target_id) AS rn FROM edges GROUP BY source_id, target_id) WHERE rn = 1)"
+
+
+_SOURCE_FILE = "concat('src/', lower(replace(p_brand, '#', '')), '/m', CAST(floor(p_partkey / 2000) AS BIGINT), '.py')"
+#: Functions of the program below: id, the file, how many branches, and the function that is called.
+FUNCTIONS = f"{SUCCESSORS}, fn AS (SELECT p.p_partkey AS id, {_SOURCE_FILE} AS file, p_size % 4 AS branches, target_id AS callee FROM part p LEFT JOIN succ ON source_id = p_partkey), linked AS (SELECT a.*, b.file AS callee_file FROM fn a LEFT JOIN fn b ON b.id = a.callee)"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content, hash, mtime, size): a Python program with a function a part, that branches by its size and calls its
+    most frequent successor, imported if it is in another file, and renamed if its number is odd."""
+    from pyspark.sql import functions as F
+
+    own = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{_SOURCE_FILE} AS file", "p_size % 4 AS branches")
+    linked = own.join(successors(spark, sf_dir).select(F.col("source_id").alias("id"), F.col("target_id").alias("callee")), "id", "left")
+    linked = linked.join(own.select(F.col("id").alias("callee"), F.col("file").alias("callee_file")), "callee", "left")
+    far = F.col("callee_file") != F.col("file")
+    name = F.concat(F.when(far & (F.col("callee") % 2 == 1), "g").otherwise("f"), "callee")
+    module = F.regexp_replace(F.replace("callee_file", F.lit("/"), F.lit(".")), r"\.py$", "")
+    rename = F.when(F.col("callee") % 2 == 1, F.concat(F.lit(" as g"), "callee")).otherwise("")
+    line = F.when(far, F.concat(F.lit("from "), module, F.lit(" import f"), "callee", rename))
+    result = F.coalesce(F.concat(name, F.lit("(a)")), F.lit("a"))
+    body = F.concat(F.lit("def f"), "id", F.lit("(a):\n"), F.repeat(F.lit("    if a > 1:\n        a = a + 1\n"), F.col("branches")), F.lit("    return "), result, F.lit("\n"))
+    files = linked.groupBy("file").agg(F.array_sort(F.collect_set(line)).alias("imports"), F.array_sort(F.collect_list(F.struct("id", body.alias("body")))).alias("defs"))
+    text = F.concat(F.array_join("imports", "\n"), F.lit("\n\n"), F.array_join(F.transform("defs", lambda d: d["body"]), "\n\n"))
+    return files.select("file", text.cast("binary").alias("content"), F.sha2(text.cast("binary"), 256).alias("hash"), F.lit(0).cast("long").alias("mtime"), F.octet_length(text).cast("long").alias("size"))
