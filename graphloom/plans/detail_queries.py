@@ -36,9 +36,9 @@ def _(n, e, spark, d):
     return details.filter_edges(e, (F.col("confidence") >= 0.5) & (F.col("dynamic") == 0)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("file_ends", "SELECT file, max(end_line) AS max_end FROM nodes GROUP BY 1")
+@query("file_ends", "SELECT file, coalesce(max(end_line), -1) AS max_end FROM nodes GROUP BY 1")
 def _(n, e, spark, d):
-    return details.file_ends(n)
+    return details.file_ends(n).withColumn("max_end", F.coalesce("max_end", F.lit(-1)))
 
 
 @query("interfaces", "SELECT n.id, n.name, n.kind, n.file, n.line, coalesce(string_agg(DISTINCT t.name || '@' || t.file, ',' ORDER BY t.name || '@' || t.file), '') AS interfaces FROM nodes n LEFT JOIN edges e ON e.source_id = n.id AND e.kind = 'implements' LEFT JOIN nodes t ON t.id = e.target_id WHERE contains(lower(n.name), 'c1') GROUP BY ALL")

@@ -45,14 +45,14 @@ def _bytes(spark: SparkSession, status) -> bytes:
 
 def walk(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, bool]], list]:
     """Row 2: the directories below root that are no build products and not ignored, the rules of all ignore files, and the
-    status of files that start with an underscore. The tree is listed by Hadoop's file system, so root may be on any
+    status of files that Spark passes over: empty ones, and those that start with an underscore. The tree is listed by Hadoop's file system, so root may be on any
     store; links to a directory seen before are left out."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     top = fs.makeQualified(top)
     base = str(top.toUri().getPath()).rstrip("/")
-    todo, out, rules, seen, underscored = [top], [], [], set(), []
+    todo, out, rules, seen, passed_over = [top], [], [], set(), []
     while todo:
         path = todo.pop()
         real = jvm.java.io.File(path.toUri().getPath()).getCanonicalPath() if fs.getScheme() == "file" else str(path)
@@ -65,19 +65,19 @@ def walk(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, boo
         for e in entries:
             if e.getPath().getName() == ".gitignore" and e.isFile():
                 rules += [r for line in _bytes(spark, e).decode("utf-8", "replace").splitlines() if (r := ignore_rule(line, own))]
-        underscored += [e for e in entries if e.isFile() and e.getPath().getName().startswith("_")]
+        passed_over += [e for e in entries if e.isFile() and (e.getPath().getName().startswith("_") or not e.getLen())]
         for e in entries:
             name = e.getPath().getName()
             if e.isDirectory() and name not in IGNORED and not ignored(f"{own}/{name}/".lstrip("/"), rules):
                 todo.append(e.getPath())
-    return out, rules, underscored
+    return out, rules, passed_over
 
 
 _READ = "path string, content binary, mtime long, size long"
 
 
-def _underscored(spark: SparkSession, found: list, most: int = 64 << 20) -> DataFrame | None:
-    """Files such as __init__.py, which Spark's readers pass over as hidden: read by way of the driver, at most so many
+def _passed_over(spark: SparkSession, found: list, most: int = 64 << 20) -> DataFrame | None:
+    """Files such as __init__.py, which Spark's readers take for hidden ones: read by way of the driver, at most so many
     bytes at a time."""
     from ..storage import cut
 
@@ -99,10 +99,10 @@ def scan_tree(spark: SparkSession, root: str, include: list[str] = (), exclude:
     """Rows 1-2, 4: (file, content, hash, mtime, size) of source files below root, paths relative to it, '/' as separator.
     Ignored directories are not listed at all."""
     base = root.rstrip("/")
-    folders, rules, underscored = walk(spark, base)
+    folders, rules, passed_over = walk(spark, base)
     known = extensions or list(LANGUAGE_OF)
     raw = spark.read.format("binaryFile").load(folders).select("path", "content", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    more = _underscored(spark, [e for e in underscored if any(e.getPath().getName().lower().endswith(x) for x in known)])
+    more = _passed_over(spark, [e for e in passed_over if any(e.getPath().getName().lower().endswith(x) for x in known)])
     raw = raw if more is None else raw.unionByName(more)
     path = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     file = F.expr("substring(p, locate(b, p) + length(b) + 1)")
