@@ -367,7 +367,7 @@ WITH words AS (
 flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM words),
 phrases AS (SELECT p AS phrase, split_part(p, ' ', 1) AS a, split_part(p, ' ', 2) AS b FROM (VALUES %s) v(p)),
 near AS (
-  SELECT doc_id, phrase, a, b, word, pos, lag(word) OVER q AS before, lag(pos) OVER q AS at
+  SELECT doc_id, phrase, a, b, word, pos, lag(word) OVER q AS prior_word, lag(pos) OVER q AS prior_pos
   FROM flat JOIN phrases ON word = a OR word = b WINDOW q AS (PARTITION BY doc_id, phrase ORDER BY pos))
-SELECT doc_id, phrase, at AS first, pos AS last FROM near WHERE word = b AND before = a AND pos - at - 1 <= %d
+SELECT doc_id, phrase, prior_pos AS "first", pos AS "last" FROM near WHERE word = b AND prior_word = a AND pos - prior_pos - 1 <= %d
 """ % (", ".join(f"('{p}')" for p in NEAR), SLOP)
