@@ -15,6 +15,8 @@ from .common import discard, stage, table
 
 #: Children of a node at most, a power of 2 (and one more at 0, see parent_of).
 FAN = 64
+#: Nodes of a task above the leaves.
+ROWS = 100_000
 #: The leaf of rows without an id: below all others.
 NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
@@ -64,16 +66,24 @@ def leaves(records: DataFrame, id_col: str, record: Column) -> DataFrame:
     return own.select(parent_of("node").alias("parent"), "node", "n", "length", F.when((F.col("kinds") == 1) & (F.col("times") == 1), F.col("only")).otherwise(several).alias("hash"))
 
 
+def _tasks(rows: int) -> int:
+    """How many tasks and files so many nodes take: the levels above the leaves are small."""
+    return max(1, -(-rows // ROWS))
+
+
 def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels (node, parent, n, length, hash) from leaves to the root. A node's group has FAN children at most."""
+    """Levels (node, parent, n, length, hash) from leaves to the root, each with its number of nodes as `size`. A node's
+    group has FAN children at most, and one more at 0."""
     levels = [stage(leaf)]
-    while levels[-1].agg(F.count(F.lit(1))).first()[0] > 1:
+    while True:
+        size = levels[-1].size = levels[-1].agg(F.count(F.lit(1))).first()[0]
+        if size <= 1:
+            return levels
         own = levels[-1].groupBy(F.col("parent").alias("node")).agg(
             F.sum("n").alias("n"), F.sum("length").alias("length"),
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: F.concat(c["node"].cast("string"), F.lit("="), c["hash"])), ";").cast("binary"), 256).alias("hash"),
         )
-        levels.append(stage(own.select(parent_of("node").alias("parent"), "node", "n", "length", "hash")))
-    return levels
+        levels.append(stage(own.select(parent_of("node").alias("parent"), "node", "n", "length", "hash").coalesce(_tasks(size))))
 
 
 def audit(own: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
@@ -83,17 +93,18 @@ def audit(own: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
     The trees may differ in height; the lower one's root is then carried up unchanged.
     """
     a, b = list(own), list(replica)
+    most = [max((x[i].size for x in (a, b) if i < len(x)), default=1) for i in range(max(len(a), len(b)))]
     for x in (a, b):
         while len(x) < max(len(a), len(b)):
             up = x[-1].select(parent_of("node").alias("node"), "n", "length", "hash")
             x.append(up.select(parent_of("node").alias("parent"), "node", "n", "length", "hash"))
     suspects = None
-    for x, y in zip(reversed(a), reversed(b)):
+    for x, y, size in zip(reversed(a), reversed(b), reversed(most)):
         if suspects is not None:
             below = suspects.select(F.col("node").alias("parent"))
             x, y = x.join(below, "parent", "left_semi"), y.join(below, "parent", "left_semi")
         both = x.select("node", F.col("hash").alias("ha")).join(y.select("node", F.col("hash").alias("hb")), "node", "full")
-        suspects = stage(both.filter(~F.col("ha").eqNullSafe(F.col("hb"))))
+        suspects = stage(both.filter(~F.col("ha").eqNullSafe(F.col("hb"))).coalesce(_tasks(size)))
         if suspects.isEmpty():
             break
     status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("corrupt")
