@@ -107,6 +107,8 @@ class Encoder:
 
     def fragment(self, part: bytes, last: bool) -> list[int]:
         got = self.fragments.get((part, last))
+        if got is None:
+            got = self.fragments.recall((part, last))
         if got is None:
             ids = [self.inner[b] for b in part]
             if last:
@@ -126,6 +128,9 @@ class Encoder:
         return out + self.fragment(parts[-1], True)
 
     def _entry(self, token: str) -> tuple[str, str]:
+        got = self.words.recall(token)
+        if got is not None:
+            return got
         ids = self.word(token)
         got = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
         if len(token) <= 64:

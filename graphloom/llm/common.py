@@ -23,29 +23,37 @@ CACHE_BYTES = 32 << 20
 
 
 class Cache(dict):
-    """A dict of bounded bytes, emptied when they are used up and when a worker turns to another operator's tasks."""
+    """A dict of bounded bytes, in two generations: when half the bound is used up, the entries grow old, and old ones that
+    nothing asks for again go with the next generation. All go when a worker turns to another operator's tasks."""
 
     every: list[Cache] = []
     step = ""
 
     def __init__(self, limit: int = CACHE_BYTES, inner: bool = False):
         """inner: it is part of an object that such a cache holds, and goes with it."""
-        self.limit, self.used = limit, 0
+        self.limit, self.used, self.old, self.unit = limit, 0, {}, 0
         if not inner:
             Cache.every.append(self)
 
     def put(self, key: object, value: object, cost: int):
         """Keep value, whose entry takes about `cost` bytes, and return it."""
-        if self.used + cost > self.limit:
-            self.clear()
-        if cost <= self.limit:
+        if self.used + cost > self.limit // 2:
+            self.old, self.unit = dict(self), self.used // max(1, len(self))
+            super().clear()
+            self.used = 0
+        if cost <= self.limit // 2:
             self.used += cost
             self[key] = value
         return value
 
+    def recall(self, key: object):
+        """The value of an old entry, which is young again; None if there is none."""
+        value = self.old.get(key)
+        return None if value is None else self.put(key, value, self.unit)
+
     def clear(self) -> None:
         super().clear()
-        self.used = 0
+        self.old, self.used = {}, 0
 
 
 def enter(step: str) -> None:
@@ -124,7 +132,8 @@ class WordHashes(Cache):
     """word (bytes) -> 64-bit hash, filled on demand."""
 
     def __missing__(self, word: bytes) -> int:
-        return self.put(word, xxhash.xxh64_intdigest(word), 170 + len(word))
+        value = self.recall(word)
+        return self.put(word, xxhash.xxh64_intdigest(word), 170 + len(word)) if value is None else value
 
 
 WORDS = WordHashes()

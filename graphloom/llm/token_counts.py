@@ -66,14 +66,20 @@ class Trie:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of MARK + word for each of the words; an empty word has none."""
-        known = self.known
-        new = {w: 0 for w in words if w not in known}
-        for w in sorted(new):
-            new[w] = self._insert(MARK + w) if w else 0
-        got = np.fromiter((new[w] if w in new else known[w] for w in words), np.int64, len(words))
-        for w, n in new.items():
+        known, got, new = self.known, np.empty(len(words), np.int64), []
+        for i, w in enumerate(words):
+            n = known.get(w)
+            if n is None:
+                n = known.recall(w)
+            if n is None:
+                new.append((w, i))
+            else:
+                got[i] = n
+        for w, i in sorted(new):
+            got[i] = self._insert(MARK + w) if w else 0
+        for w, i in new:
             if len(w) <= 64:
-                known.put(w, n, 160 + len(w))
+                known.put(w, int(got[i]), 160 + len(w))
         return got
 
 
