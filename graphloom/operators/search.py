@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,22 +39,41 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(idf * weight).alias("score"))
 
 
-#: Numbers of the query vectors that go to the executors at a time (some 32 MB).
-BLOCK = 1 << 22
+#: Vectors and queries that are multiplied at a time, and the numbers that either side holds at most.
+VECTORS, QUERIES, NUMBERS = 2048, 512, 1 << 18
+
+
+def _packed(rows: DataFrame, key: str, vector: str, most: int) -> DataFrame:
+    """(dim, {key}s, {vector}s): rows of one length of vector, packed by about `most` into lists of keys and of numbers.
+    Null vectors, and those with nulls, are near nothing."""
+    own = rows.select(key, vector).filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).withColumn("dim", F.size(vector))
+    n, dim = own.agg(F.count(F.lit(1)), F.max("dim")).first()
+    blocks = max(1, -(-n // max(1, min(most, NUMBERS // max(1, dim or 1)))))
+    own = own.withColumn("block", F.pmod(F.xxhash64(key, vector), F.lit(blocks))).repartition(blocks, "block")
+    lists = own.groupBy("dim", "block").agg(F.collect_list(F.struct(key, vector)).alias("rows"))
+    return lists.select("dim", F.transform("rows", lambda r: r[key]).alias(f"{key}s"), F.flatten(F.transform("rows", lambda r: r[vector])).alias(f"{vector}s"))
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, min_score: float = 0.2) -> DataFrame:
-    """Row 326: (query, id, score) of the vectors near each query vector (query, q). Queries are a stated set, counted and
-    broadcast in blocks of BLOCK numbers."""
-    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK))
+    """Row 326: (query, id, score) of the vectors near each query vector (query, q). Every block of vectors meets every block
+    of queries, and a pair of blocks is one product of matrices in doubles; a task holds one pair at a time."""
     own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    out = None
-    for i in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        rows = own.crossJoin(F.broadcast(part)).select("query", "id", S.cosine(F.col("v"), F.col("q")).alias("score")).filter(F.col("score") >= min_score)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    pairs = _packed(own, "id", "v", VECTORS).join(_packed(queries, "query", "q", QUERIES), "dim")
+
+    def product(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch["dim"][i].as_py()
+                ids, names = batch["ids"][i].values, batch["querys"][i].values
+                v, q = (batch[c][i].values.to_numpy(zero_copy_only=False).astype(float).reshape(len(k), dim) for c, k in (("vs", ids), ("qs", names)))
+                norm = np.outer(*(np.sqrt((x * x).sum(1)) for x in (v, q)))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.where(norm == 0, 0.0, v @ q.T / np.where(norm == 0, 1.0, norm))
+                a, b = np.nonzero(~(score < min_score))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(b)), ids.take(pa.array(a)), pa.array(score[a, b])], names=["query", "id", "score"])
+
+    types = [("query", dict(queries.dtypes)["query"]), ("id", dict(own.dtypes)["id"]), ("score", "double")]
+    return pairs.select("dim", "ids", "vs", "querys", "qs").mapInArrow(product, ", ".join(f"{c} {t}" for c, t in types))
 
 
 def post_filter(hits: DataFrame, nodes: DataFrame, kind: str | None = None, files: tuple[str, ...] = (), globs: tuple[str, ...] = (), tests: bool = True) -> DataFrame:
