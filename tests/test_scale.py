@@ -2,10 +2,12 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
 from graphloom.operators import search
+from graphloom.sources import parse
 
 
 def rows(df) -> list[tuple]:
@@ -22,3 +24,9 @@ def test_blocks_of_vectors_score_as_pairs_do(spark, monkeypatch):
     found = search.semantic(v, q, "id", "v", -0.5)
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString() and "zip_with" not in found._jdf.queryExecution().toString()
     assert rows(found.withColumn("score", F.round("score", 6))) == rows(want)
+
+
+def test_facts_of_few_files_are_held_at_a_time():
+    frame = pd.DataFrame({"file": [f"m{i}.py" for i in range(50)], "content": [b"def f(a):\n    return a\n"] * 50})
+    found = list(parse.fact_frames([frame]))
+    assert max(map(len, found)) == parse.FILES_AT_ONCE and [x for f in found for x in f["file"]] == list(frame["file"])
