@@ -137,7 +137,7 @@ program = partial(query, prelude=True, extra=star.FUNCTIONS)
 
 def _named(rows, nodes):
     """rows with the names of their ends instead of ids."""
-    ids = nodes.select("id", "name")
+    ids = nodes.select("id", "name").hint("merge")
     return rows.join(ids.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id").join(ids.select(F.col("id").alias("target_id"), F.col("name").alias("target")), "target_id")
 
 
@@ -171,7 +171,7 @@ def _(n, e, spark, d):
 @program("build_complexity", "SELECT 'f' || id AS name, branches AS cognitive, branches + 1 AS cyclomatic, least(branches, 1) AS max_nesting, 2 * branches + 2 AS loc FROM fn")
 def _(n, e, spark, d):
     facts, nodes = _facts(spark, d)
-    rows = build.complexity_rows(facts, nodes).join(nodes.select(F.col("id").alias("node_id"), "name"), "node_id")
+    rows = build.complexity_rows(facts, nodes).join(nodes.select(F.col("id").alias("node_id"), "name").hint("merge"), "node_id")
     return rows.select("name", *[F.col(c).cast("int").alias(c) for c in ("cognitive", "cyclomatic", "max_nesting", "loc")])
 
 
@@ -185,8 +185,8 @@ def _(n, e, spark, d):
 @program("build_control_flow", "SELECT 'f' || id AS name, CAST(2 * branches + 3 AS BIGINT) AS blocks, CAST(3 * branches + 2 AS BIGINT) AS jumps FROM fn")
 def _(n, e, spark, d):
     facts, nodes = _facts(spark, d)
-    t, ids = build.tables_of_files(facts, nodes), nodes.select(F.col("id").alias("function_id"), "name")
-    count = lambda k, c: t[k].groupBy("function_id").agg(F.count(F.lit(1)).alias(c))
+    t, ids = build.tables_of_files(facts, nodes), nodes.select(F.col("id").alias("function_id"), "name").hint("merge")
+    count = lambda k, c: t[k].groupBy("function_id").agg(F.count(F.lit(1)).alias(c)).hint("merge")
     return ids.join(count("cfg_blocks", "blocks"), "function_id").join(count("cfg_edges", "jumps"), "function_id").select("name", "blocks", "jumps")
 
 

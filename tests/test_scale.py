@@ -1,14 +1,19 @@
 """Operators that once did not fit into the time or memory of larger tables: their steps against plain ones."""
 
+import os
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
 from graphloom.operators import search
+from graphloom.plans.queries import QUERIES
 from graphloom.sources import parse
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(df) -> list[tuple]:
     return sorted(map(tuple, df.collect()), key=repr)
@@ -30,3 +35,9 @@ def test_facts_of_few_files_are_held_at_a_time():
     frame = pd.DataFrame({"file": [f"m{i}.py" for i in range(50)], "content": [b"def f(a):\n    return a\n"] * 50})
     found = list(parse.fact_frames([frame]))
     assert max(map(len, found)) == parse.FILES_AT_ONCE and [x for f in found for x in f["file"]] == list(frame["file"])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["build_control_flow", "build_complexity"])
+def test_facts_are_not_sent_to_the_driver(spark, name):
+    assert "Broadcast" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
