@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
-from graphloom.operators import search
+from graphloom.operators import cycles, search
 from graphloom.plans.queries import QUERIES
 from graphloom.sources import parse
 
@@ -41,3 +41,34 @@ def test_facts_of_few_files_are_held_at_a_time():
 @pytest.mark.parametrize("name", ["build_control_flow", "build_complexity"])
 def test_facts_are_not_sent_to_the_driver(spark, name):
     assert "Broadcast" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [10**6, 3, 0])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch, kind, limit):
+    cuts = []
+    monkeypatch.setattr(cycles, "cut", lambda df, real=cycles.cut: cuts.append(1) or real(df))
+    made = [(i, i + 1) for i in range(300)] + [(400 + i, 400 + (i * 7 + 3) % 40) for i in range(40)] + [(900, 900)]
+    e = spark.createDataFrame(made, "source_id long, target_id long").select(*[F.format_string("%04d", c).alias(c) if kind == "string" else c for c in ("source_id", "target_id")])
+    up = {x: x for p in made for x in p}
+    for _ in range(300):
+        for a, b in made:
+            up[a] = up[b] = min(up[a], up[b])
+    assert {int(a): int(b) for a, b in rows(cycles.connected(e, limit))} == up
+    assert len(cuts) < 120
+
+
+@pytest.mark.parametrize("limit", [10**6, 20, 0])
+def test_components_by_tasks_and_by_colours_agree_with_tarjan(spark, limit):
+    rng = random.Random(limit)
+    made = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(70)] + [(60, 100), (104, 205), (300, 301), (301, 300), (210, 300)]
+    e = spark.createDataFrame(made, "source_id long, target_id long")
+    want = [(x, g[0]) for g in cycles.tarjan([p for p in made if p[0] != p[1]]) for x in g]
+    assert rows(cycles.components(e, 0, limit)) == sorted(want, key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_cycles_are_of_all_edges(spark):
+    found = QUERIES["cycles"](spark, SF).collect()
+    parts = {x for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey").distinct().collect() for x in r}
+    assert [r.size for r in found] == [len(parts)]
