@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
-from graphloom.operators import cycles, search
+from graphloom.operators import community, cycles, lookup, search
 from graphloom.plans.queries import QUERIES
 from graphloom.sources import parse
 
@@ -72,3 +72,25 @@ def test_cycles_are_of_all_edges(spark):
     found = QUERIES["cycles"](spark, SF).collect()
     parts = {x for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey").distinct().collect() for x in r}
     assert [r.size for r in found] == [len(parts)]
+
+
+def test_enclosing_definitions_are_found_without_sorting_all_pairs(spark):
+    rng = random.Random(3)
+    made = [(i, f"f{i % 3}", rng.randrange(40), rng.choice([None, 5, 20, 50])) for i in range(200)]
+    made = [(i, f, a, b if b is None else a + b) for i, f, a, b in made]
+    points = [(f"f{i % 4}", i) for i in range(-3, 100)] + [("f1", 7), ("f1", 7), (None, 3)]
+    n = spark.createDataFrame(made, "id long, file string, line int, end_line int")
+    p = spark.createDataFrame(points, "file string, at int")
+    span = lambda r, at: (((r[3] or 999999) - r[2]), -r[2], r[0])
+    want = {(f, at, min((span(r, at) for r in made if r[1] == f and r[2] <= at <= (r[3] or 999999)), default=(None,))[-1]) for f, at in points}
+    found = lookup.enclosing(n, p)
+    assert rows(found) == sorted(want, key=repr)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_over_communities_need_no_row_a_pair(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 4), (3, 4), (5, 1)], "source_id long, target_id long")
+    member = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "node long, community long")
+    of = lambda pairs: [round(r.quality, 9) for r in community.modularity(pairs, member).collect()]
+    assert of(community.loose_pairs(e)) == of(community.undirected_pairs(e))
+    assert community.loose_pairs(e)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
