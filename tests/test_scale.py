@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
-from graphloom.operators import community, cycles, lookup, search
+from graphloom.operators import community, cycles, lookup, search, traverse
 from graphloom.plans.queries import QUERIES
 from graphloom.sources import parse
 
@@ -94,3 +94,15 @@ def test_sums_over_communities_need_no_row_a_pair(spark):
     of = lambda pairs: [round(r.quality, 9) for r in community.modularity(pairs, member).collect()]
     assert of(community.loose_pairs(e)) == of(community.undirected_pairs(e))
     assert community.loose_pairs(e)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_knots_above_are_the_closure(spark):
+    made = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 1), (5, 7), (7, 5), (8, 8)] + [(20 + i, 20 + (i + 1) % 40) for i in range(40)]
+    e = spark.createDataFrame([(a, b, "extends") for a, b in made], "source_id long, target_id long, kind string")
+    starts = spark.createDataFrame([(1,), (6,), (7,), (25,)], "node_id long")
+    knot, up = traverse.knots_above(e, starts, ("extends",))
+    members = knot.select(F.col("node").alias("ancestor_id"), F.col("knot").alias("above"))
+    found = knot.withColumnRenamed("node", "node_id").join(starts, "node_id", "left_semi").join(up, "knot").join(members, "above").filter("node_id <> ancestor_id")
+    want = traverse.ancestors(e).join(starts, "node_id", "left_semi").filter("node_id <> ancestor_id")
+    assert rows(found.select("node_id", "ancestor_id")) == rows(want.select("node_id", "ancestor_id").distinct())
+    assert up.count() < 10
