@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import cut
 from .lookup import fan_out, with_ends
 from .traverse import reach
 
@@ -73,6 +74,8 @@ def inputs(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -
     Exported is what says so, what another file uses, and what production barrels re-export; the public surface leaves
     the second out. Columns entrypoint and entrypoint_role of nodes count if they are there.
     """
+    # Every part of this reads the edges, which may cost a sort of the whole input to make.
+    edges = cut(edges.select("source_id", "target_id", "kind"))
     wanted = nodes if files is None else nodes.join(files, "file", "left_semi")
     own = wanted.filter(~F.col("kind").isin(*NO_FAN_KINDS) | (F.col("kind") == "property"))
     own = own.withColumns({c: F.coalesce(F.col(c), F.lit(0)) if c in nodes.columns else F.lit(0) for c in ("entrypoint", "entrypoint_role")})
@@ -113,6 +116,7 @@ def classify(rows: DataFrame, edges: DataFrame | None = None, medians: DataFrame
 
     rows come from inputs(); edges, if given, are those of the reachability downgrade. Medians are of rows, if not given.
     """
+    rows = cut(rows) if medians is None or edges is not None else rows  # read for the medians, too, and for the roots
     framework = F.col("name").rlike("^(route|event|command):")
     dispatched = F.col("name").isin("execute", "validate") & F.col("file").rlike(_ENTRY_PATH)
     rescued = F.col("active") & (F.col("kind").isin(*ANNOTATION_KINDS) | F.col("kind").isin("method", "function") & (F.col("fan_out") > 0))
@@ -139,7 +143,7 @@ def _downgraded(out: DataFrame, edges: DataFrame, root: Column) -> DataFrame:
     named = out.withColumn("bare", bare)
     declared = named.filter("type_member AND kind = 'method'").select("bare").distinct()
     dispatch = named.filter("kind = 'method' AND fan_in = 0 AND fan_out > 0 AND active AND NOT type_member").join(declared, "bare", "left_semi")
-    calls = edges.filter("kind = 'calls'").select("source_id", "target_id").distinct()
+    calls = cut(edges.filter("kind = 'calls'").select("source_id", "target_id").distinct())
     # Code that is no function's runs when its file is loaded.
     outside = calls.select(F.col("source_id").alias("node")).distinct().join(out.filter(callable_).select(F.col("id").alias("node")), "node", "left_anti")
     roots = out.filter(~F.col("type_member") & root).select(F.col("id").alias("node")).unionByName(dispatch.select(F.col("id").alias("node"))).unionByName(outside)

@@ -106,3 +106,9 @@ def test_knots_above_are_the_closure(spark):
     want = traverse.ancestors(e).join(starts, "node_id", "left_semi").filter("node_id <> ancestor_id")
     assert rows(found.select("node_id", "ancestor_id")) == rows(want.select("node_id", "ancestor_id").distinct())
     assert up.count() < 10
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["roles", "roles_reachable"])
+def test_roles_read_what_was_made_once(spark, name):
+    assert "Window" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
