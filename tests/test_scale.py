@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from graphloom.functions import scalars as S
 from graphloom.operators import community, cycles, lookup, search, traverse
 from graphloom.plans.queries import QUERIES
 from graphloom.sources import parse
+from graphloom.storage import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +114,37 @@ def test_knots_above_are_the_closure(spark):
 @pytest.mark.parametrize("name", ["roles", "roles_reachable"])
 def test_roles_read_what_was_made_once(spark, name):
     assert "Window" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_components_move_many_nodes_at_a_time(spark):
+    # Cliques of 8 nodes, each tied to the next one and to one far away: a component of 232,000 pairs and of 64,000 nodes.
+    n = 8_000
+    inner = spark.range(n * 28).select((F.col("id") / 28).cast("long").alias("k"), (F.col("id") % 28).alias("p"))
+    inner = inner.select("k", F.expr(f"element_at(array({', '.join(f'struct({a}L AS a, {b}L AS b)' for a in range(8) for b in range(a))}), CAST(p + 1 AS INT))").alias("e")).select((F.col("k") * 8 + F.col("e.a")).alias("source_id"), (F.col("k") * 8 + F.col("e.b")).alias("target_id"))
+    ties = spark.range(n).select((F.col("id") * 8).alias("source_id"), F.explode(F.array((F.col("id") + 1) % n * 8 + 1, (F.col("id") * 37 + 11) % n * 8 + 2)).alias("target_id"))
+    edges = cut(inner.unionByName(ties))
+    pairs, found = community.undirected_pairs(edges), cut(community.communities(edges))
+    assert pairs.count() > community.SERIAL_EDGES and (found.count(), found.select("node").distinct().count()) == (n * 8, n * 8)
+    assert found.groupBy("community").agg(F.min("node").alias("least")).filter("community <> least").isEmpty()
+    assert found.groupBy((F.col("node") / 8).cast("long")).agg(F.count_distinct("community").alias("c")).filter("c > 1").isEmpty()
+    assert community.modularity(pairs, found).first()[0] > 0.9
+    assert found.exceptAll(community.communities(edges)).isEmpty()
+
+
+def test_moves_at_once_are_about_as_good_as_one_after_another():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 2_000, 6_000), rng.integers(0, 2_000, 6_000)
+    b = np.where(rng.random(6_000) < 0.6, a // 20 * 20 + b % 20, b)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)  # with loops
+    a, b = pairs
+    w = 1.0 + a % 3
+
+    def quality(part):
+        strength = np.bincount(part[a], w, 2_000) + np.bincount(part[b], w, 2_000)
+        return w[part[a] == part[b]].sum() / w.sum() - np.square(strength / (2 * w.sum())).sum()
+
+    serial = community.leiden(list(zip(a.tolist(), b.tolist(), w.tolist())))
+    assert quality(community.leiden_at_once(a, b, w, 2_000)) > 0.98 * quality(np.array([serial.get(i, i) for i in range(2_000)]))
+    # Two parts that only their own pairs hold together are two communities, whatever the total.
+    alone = community.leiden_at_once(np.array([0, 1, 3, 4]), np.array([1, 2, 4, 5]), np.ones(4), 6, total=1e9)
+    assert alone.tolist() == [0, 0, 0, 3, 3, 3]
