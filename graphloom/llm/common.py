@@ -72,8 +72,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_pass(df: DataFrame, columns: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply columns(batch) -> {name: values} to every Arrow batch; schema is Spark DDL. A narrow, stateless stage."""
+def halved(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most so many bytes, or of one row."""
+    if batch.num_rows <= 1 or batch.nbytes <= most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half), most)
+        yield from halved(batch.slice(half), most)
+
+
+def arrow_pass(df: DataFrame, columns: Callable[[pa.RecordBatch], dict], schema: str, most: int | None = None) -> DataFrame:
+    """Apply columns(batch) -> {name: values} to every Arrow batch; schema is Spark DDL. A narrow, stateless stage. With
+    most, it gets pieces of at most so many bytes, or of one row: what it makes of a piece is gone before the next one."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -81,7 +92,7 @@ def arrow_pass(df: DataFrame, columns: Callable[[pa.RecordBatch], dict], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter(step)
-        for batch in batches:
+        for batch in (piece for b in batches for piece in ([b] if most is None else halved(b, most))):
             if batch.num_rows:
                 got = columns(batch)
                 arrays = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in target]

@@ -29,6 +29,8 @@ WINDOW = 10
 BLOCK_WORDS = 400_000
 #: Words of a segment of the index; a longer document is one on its own.
 SEGMENT_WORDS = 1 << 20
+#: Bytes of texts that are split into words at a time; segments of the index end with them.
+TEXT_BYTES = 1 << 24
 #: Positions of rarest terms that are followed up at a time.
 _CANDIDATES = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -192,7 +194,7 @@ def positional_index(docs: DataFrame, id_col="doc_id", text_col="text", segment_
         return out | {"terms": pa.array([t.to_pylist() for t in out["terms"]], pa.list_(pa.binary()))}
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    built = arrow_pass(read, run, "ids array<long>, lengths array<long>, terms array<binary>, counts array<long>, postings binary")
+    built = arrow_pass(read, run, "ids array<long>, lengths array<long>, terms array<binary>, counts array<long>, postings binary", TEXT_BYTES)
     return stage(built.select(F.monotonically_increasing_id().alias("segment"), "*"))
 
 
@@ -321,7 +323,8 @@ def proximity(docs: DataFrame, phrases: list[str], slop: int, id_col="doc_id", t
                         out[k].append(v)
         return {k: out[k] for k in ("doc_id", "phrase", "first", "last")}
 
-    return arrow_pass(index.drop("segment"), scan, "doc_id long, phrase string, first long, last long")
+    # A segment at a time: frequent words make many matches.
+    return arrow_pass(index.drop("segment"), scan, "doc_id long, phrase string, first long, last long", 1)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, byte_dedup, decontaminate, fingerprints, fixity, language, near_dedup, quality, token_counts, word_dedup
+from graphloom.llm import bpe, byte_dedup, common, decontaminate, fingerprints, fixity, language, near_dedup, quality, token_counts, word_dedup
 from graphloom.llm.common import Sequence, word_values
 
 from .conftest import SCHEMA, corpus, prose
@@ -452,6 +452,17 @@ def test_proximity(spark):
     assert got == [(1, "a b", 0, 2), (1, "a b c", 0, 5), (4, "a b", 0, 1), (4, "a b", 3, 4), (4, "a b c", 3, 5)]
 
 
+def test_texts_and_matches_are_held_a_piece_at_a_time(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a b " * 50) for i in range(40)], "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, decontaminate.proximity(df, ["a b"], 3).collect()))
+    monkeypatch.setattr(decontaminate, "TEXT_BYTES", 1_000)
+    index = decontaminate.positional_index(df)
+    assert index.count() >= 8 and index.selectExpr("max(aggregate(lengths, 0L, (x, y) -> x + y))").first()[0] <= 500
+    seen = common.arrow_pass(index.coalesce(1).select("segment"), lambda b: {"n": [b.num_rows]}, "n int", 1)
+    assert {r.n for r in seen.collect()} == {1}
+    assert sorted(map(tuple, decontaminate.proximity(df, ["a b"], 3).collect())) == whole and len(whole) == 2_000
+
+
 def test_proximity_does_not_depend_on_segments(spark, monkeypatch):
     rng = random.Random(17)
     rows = [(i, " ".join(rng.choice("aabbccdde") for _ in range(rng.randrange(40)))) for i in range(30)]
