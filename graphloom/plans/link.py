@@ -55,13 +55,19 @@ def resolve_imports(facts: DataFrame, files: DataFrame, aliases: dict[str, str]
     sub = F.when(python & F.col("name").isNotNull(), F.concat_ws("/", F.nullif(base, F.lit("")), F.col("name")))
     bare = F.regexp_replace(base, r"\.(js|jsx|mjs)$", "")
     known = F.create_map(*[F.lit(x) for kv in (packages or {"": ""}).items() for x in kv])[F.col("source")]
-    tries = [F.struct(F.lit(-1).alias("rank"), known.alias("path"))]
-    tries += [F.struct(F.lit(i).alias("rank"), F.concat(b, F.lit(x)).alias("path")) for b, at in ((sub, 0), (base, 20), (bare, 40)) for i, x in enumerate((*EXTENSIONS, ".rs", "/mod.rs"), at)]
+    # Files are fewer than imports: each is known by what is left of it without any of the extensions, so that an import
+    # asks for its few paths and not for each of them with every extension. A path as it stands is of rank -1.
+    endings = [*enumerate((*EXTENSIONS, ".rs", "/mod.rs")), (-1, "")]
+    path = F.col("file")
+    stems = [F.when(path.endswith(x), F.struct(path.substr(F.lit(1), F.length(path) - len(x)).alias("stem"), F.lit(i).alias("ending"))) for i, x in endings]
+    ends = files.select(path.alias("path"), F.explode(F.array(*stems)).alias("x")).filter("x IS NOT NULL AND path <> ''").select("path", F.col("x.stem").alias("stem"), F.col("x.ending").alias("ending"))
     # A Rust path may end in a name of the file.
-    tries.append(F.struct(F.lit(60).alias("rank"), F.when(F.col("file").endswith(".rs"), F.concat(F.regexp_replace(base, r"/[^/]*$", ""), F.lit(".rs"))).alias("path")))
-    rows = imports.withColumn("c", F.explode(F.array(*tries))).filter("c.path IS NOT NULL AND c.path <> ''")
-    hit = rows.join(files.select(F.col("file").alias("path")), rows["c.path"] == F.col("path"))
-    best = hit.groupBy("file", "source", "name", "alias", "line", "kind").agg(F.min(F.struct("c.rank", "path")).alias("b"))
+    rust_file = F.when(F.col("file").endswith(".rs"), F.concat(F.regexp_replace(base, r"/[^/]*$", ""), F.lit(".rs")))
+    asked = ((known, 0, True), (sub, 0, False), (base, 20, False), (F.when(bare != base, bare), 40, False), (rust_file, 61, True))
+    tries = [F.when(p.isNotNull(), F.struct(p.alias("stem"), F.lit(at).alias("at"), F.lit(whole).alias("whole"))) for p, at, whole in asked]
+    rows = imports.withColumn("c", F.explode(F.array(*tries))).filter("c IS NOT NULL").select("*", F.col("c.stem").alias("stem"))
+    hit = rows.join(ends, "stem").filter("c.whole = (ending < 0)").withColumn("rank", F.col("c.at") + F.col("ending"))
+    best = hit.groupBy("file", "source", "name", "alias", "line", "kind").agg(F.min(F.struct("rank", "path")).alias("b"))
     return best.select("file", "source", "name", "alias", "line", "kind", F.col("b.path").alias("resolved"), F.col("b.rank").between(0, 19).alias("module"))
 
 

@@ -148,3 +148,22 @@ def test_moves_at_once_are_about_as_good_as_one_after_another():
     # Two parts that only their own pairs hold together are two communities, whatever the total.
     alone = community.leiden_at_once(np.array([0, 1, 3, 4]), np.array([1, 2, 4, 5]), np.ones(4), 6, total=1e9)
     assert alone.tolist() == [0, 0, 0, 3, 3, 3]
+
+
+def test_syntax_trees_are_walked_without_contexts_and_facts_leave_as_arrow(spark, monkeypatch):
+    import ast
+
+    with open(parse.__file__) as f:
+        text = f.read()
+    tree = ast.parse(text)
+    assert parse.walked(tree) == [x for x in ast.walk(tree) if not isinstance(x, ast.expr_context)]
+    want = parse.parse_python(text)
+    assert len(want["calls"]) > 100 and want["flows"]
+    for slow in ("walk", "iter_child_nodes"):
+        monkeypatch.delattr(ast, slow)
+    assert parse.parse_python("def f(a):\n    return g(a)\n")["flows"] == [("f", "g", "flows_to", 0, "a", 2)]
+    monkeypatch.undo()
+    found = parse.parse(spark.createDataFrame([("m.py", text.encode())], "file string, content binary"))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()[0].asDict()
+    assert {k: [tuple(x) for x in got[k]] for k in want} == want
