@@ -1,9 +1,10 @@
 """Operator 8: byte-pair encoding and decoding with forced boundaries.
 
 Two neighbouring bytes that stand next to each other inside no token of the vocabulary can never be merged into one, so
-the place between them is a certain cut. A pre-token falls into fragments there; each is encoded on its own (and kept
-in a bounded cache, as fragments recur more often than words do), and the fragments' ids are concatenated.
-The pass over the texts is narrow: no shuffle, and memory bounded by the caches.
+the place between them is a certain cut. A pre-token falls into fragments there; each is encoded on its own, and the
+fragments' ids are concatenated. The pass over the texts is narrow: no shuffle, and memory bounded by the cache of words
+and by the pieces of PIECE bytes that texts are taken in. Words of a piece that the cache doesn't have are encoded
+together, the fragments of one length as the rows of a matrix in which each round merges the best pair of every row.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,18 @@ from .common import CACHE_BYTES, Cache, arrow_pass, table
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Letters whose class and case no Unicode version of this decade has changed; texts with others take the library's split.
 _ODD = regex.compile("[^\\x00-\\u0557\\u1e00-\\u1fff\\u2010-\\u205f\\u20a0-\\u20bf\\u2100-\\u2bff\\u3000-\\u30ff\\u4e00-\\u9fef\\uac00-\\ud7a3\\U0001f300-\\U0001f64f]")
-_SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: Bytes of texts whose words are encoded together.
+PIECE = 2 << 20
+#: Fragments up to this length are merged as rows of matrices.
+SHORT = 48
+
+
+_SPLIT = regex.compile(rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: The same for lower-case ASCII, where `re` is faster.
+_SPLIT_ASCII = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+")
+
+
+_NONE = 1 << 60
 
 
 def _byte_letters() -> list[str]:
@@ -58,8 +72,8 @@ class Encoder:
             own = [byte_of[c] for c in token.removesuffix(self.end)]
             for a, b in zip(own, own[1:]):
                 self.joined[a << 8 | b] = 1
-        self.fragments: Cache = Cache(CACHE_BYTES, inner=True)
-        self.words: Cache = Cache(2 * CACHE_BYTES, inner=True)
+        self._table()
+        self.words: Cache = Cache(3 * CACHE_BYTES, inner=True)
 
     def cuts(self, word: bytes) -> list[bytes]:
         """The fragments between forced boundaries."""
@@ -72,18 +86,71 @@ class Encoder:
         return out
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, 0
-            for i in range(len(ids) - 1):
-                m = get(ids[i] << 20 | ids[i + 1])
-                if m is not None and m[0] < best:
-                    best, new = m
-                    at = i
-            if at < 0:
-                break
-            ids[at : at + 2] = [new]
-        return ids
+        return [x for x in self._merge_rows(np.array([ids], np.int64))[0].tolist() if x >= 0]
+
+    def _table(self) -> None:
+        """The merges as an open hash table: keys, and what the pair of a key becomes, with its rank above it."""
+        size = 1 << (4 * max(1, len(self.merges))).bit_length()
+        self.keys, self.made = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
+        made = np.fromiter((r << 20 | new for r, new in self.merges.values()), np.int64, len(keys))
+        at = self._slot(keys)
+        while len(keys):
+            # Of those that want one free slot the last written has it; the others go on to the next slot.
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.made[at[mine]] = made[mine]
+            keys, made, at = keys[~mine], made[~mine], (at[~mine] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        bits = len(self.keys).bit_length() - 1
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 20 | new id for each pair, _NONE for those that no merge has."""
+        keys = a << 20 | b
+        at = self._slot(keys)
+        out, open_ = np.full(len(keys), _NONE), np.arange(len(keys))
+        while len(open_):
+            there = self.keys[at]
+            hit = there == keys
+            out[open_[hit]] = self.made[at[hit]]
+            more = ~hit & (there >= 0)
+            open_, keys, at = open_[more], keys[more], (at[more] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
+        """Merge each row, of one length, to its end; -1 fills what is left free on its right."""
+        n, width = ids.shape
+        if width < 2 or not n:
+            return ids
+        done = np.full((n, width), -1, np.int64)
+        pairs = self._pairs(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+        rows = np.arange(n)
+        while True:
+            at = pairs.argmin(1)
+            best = pairs[np.arange(len(rows)), at]
+            go = best < _NONE
+            if not go.all():
+                done[rows[~go], : ids.shape[1]] = ids[~go]
+                rows, ids, pairs, at, best = rows[go], ids[go], pairs[go], at[go], best[go]
+            if not len(rows):
+                return done
+            each, w = np.arange(len(rows)), ids.shape[1]
+            # The new id stands in the pair's first place; what is behind the pair moves up by one.
+            shift = np.arange(w - 1) + (np.arange(w - 1) > at[:, None])
+            ids = np.take_along_axis(ids, shift, 1)
+            ids[each, at] = best & 0xFFFFF
+            if w == 2:
+                done[rows, :1] = ids
+                return done
+            pairs = np.take_along_axis(pairs, shift[:, :-1] if w > 2 else shift, 1)
+            for side in (at - 1, at):
+                ok = (side >= 0) & (side < w - 2)
+                ok[ok] = ids[each[ok], side[ok] + 1] >= 0
+                r, c = each[ok], side[ok]
+                pairs[r, c] = self._pairs(ids[r, c], ids[r, c + 1])
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap and a linked list, for fragments where rescanning would be quadratic."""
@@ -105,37 +172,57 @@ class Encoder:
                     heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return [x for x in ids if x >= 0]
 
-    def fragment(self, part: bytes, last: bool) -> list[int]:
-        got = self.fragments.get((part, last))
-        if got is None:
-            got = self.fragments.recall((part, last))
-        if got is None:
-            ids = [self.inner[b] for b in part]
-            if last:
-                ids[-1] = self.last[part[-1]]
-            got = self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
-            if len(part) <= 64:
-                self.fragments.put((part, last), got, 280 + len(part) + 8 * len(got))
-        return got
+    def _fragments(self, parts: list[tuple[bytes, bool]]) -> dict[tuple[bytes, bool], list[int]]:
+        """The ids of each fragment (bytes, whether it ends a word)."""
+        out, by_length = {}, {}
+        for p in parts:
+            if p not in out:
+                out[p] = None
+                by_length.setdefault(len(p[0]), []).append(p)
+        inner, last = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        for length, group in by_length.items():
+            if length > SHORT:
+                for part, ends in group:
+                    ids = [self.inner[b] for b in part]
+                    ids[-1] = self.last[part[-1]] if ends else ids[-1]
+                    out[part, ends] = self._merge_long(ids)
+                continue
+            own = np.frombuffer(b"".join([p for p, _ in group]), np.uint8).reshape(len(group), length)
+            ids = inner[own]
+            ids[:, -1] = np.where([e for _, e in group], last[own[:, -1]], ids[:, -1])
+            merged = self._merge_rows(ids)
+            for p, row, n in zip(group, merged.tolist(), (merged >= 0).sum(1).tolist()):
+                out[p] = row[:n]
+        return out
 
     def word(self, token: str) -> list[int]:
-        parts = self.cuts(token.encode("utf-8"))
-        if len(parts) == 1:
-            return self.fragment(parts[0], True)
-        out: list[int] = []
-        for p in parts[:-1]:
-            out += self.fragment(p, False)
-        return out + self.fragment(parts[-1], True)
-
-    def _entry(self, token: str) -> tuple[str, str]:
-        got = self.words.recall(token)
-        if got is not None:
-            return got
-        ids = self.word(token)
-        got = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
-        if len(token) <= 64:
-            self.words.put(token, got, 320 + len(token) + len(got[0]) + len(got[1]))
-        return got
+        return list(map(int, self._entries([token])[0].partition("\t")[0].split(" ")))
+
+    def _entries(self, tokens: list[str]) -> list[str]:
+        """Ids, a tab and token strings, joined by spaces, of each of these words, which are kept."""
+        cut = [self.cuts(t.encode("utf-8")) for t in tokens]
+        known = self._fragments([(p, i == len(c) - 1) for c in cut for i, p in enumerate(c)])
+        names, out = self.names, []
+        for token, c in zip(tokens, cut):
+            ids = known[c[0], True] if len(c) == 1 else [x for i, p in enumerate(c) for x in known[p, i == len(c) - 1]]
+            got = f"{' '.join(map(str, ids))}\t{' '.join([names[i] for i in ids])}"
+            out.append(got)
+            if len(token) <= 64:
+                self.words.put(token, got, 220 + len(token) + len(got))
+        return out
+
+    def _known(self, tokens: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """The ids of these words, and their token strings."""
+        get, recall, missing, ids, strings = self.words.get, self.words.recall, [], {}, {}
+        for t in tokens:
+            got = get(t) or recall(t)
+            if got is None:
+                missing.append(t)
+            else:
+                ids[t], _, strings[t] = got.partition("\t")
+        for t, got in zip(missing, self._entries(missing)):
+            ids[t], _, strings[t] = got.partition("\t")
+        return ids, strings
 
     @staticmethod
     def _normal(text: str) -> str:
@@ -146,7 +233,8 @@ class Encoder:
 
     def _split(self, text: str) -> list[str]:
         if not _ODD.search(text):
-            return _SPLIT.findall(self._normal(text))
+            text = self._normal(text)
+            return (_SPLIT_ASCII if text.isascii() else _SPLIT).findall(text)
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -154,27 +242,41 @@ class Encoder:
             self.library = Tokenizer.from_str(json.dumps(split))
         return [t for t, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def _pieces(self, text: str) -> list[tuple[str, str]]:
-        get, out = self.words.get, []
-        for part in self.stops.split(text) if self.stops and "<|" in text else (text,):
-            if part in self.special:
-                out.append((str(self.special[part]), part))
+    def _parts(self, text: str) -> list[str | list[str]]:
+        """The words of the text, in lists, and the special tokens between them."""
+        cut = self.stops.split(text) if self.stops and "<|" in text else (text,)
+        return [part if part in self.special else self._split(part) for part in cut]
+
+    def _joined(self, texts: list[str]) -> list[tuple[str, str]]:
+        """(ids, token strings) of each text, joined by spaces."""
+        own = [self._parts(t) for t in texts]
+        ids, names = self._known(set().union(*[p for parts in own for p in parts if not isinstance(p, str)]))
+        out = []
+        for parts in own:
+            if len(parts) == 1 and not isinstance(parts[0], str):
+                out.append((" ".join(map(ids.__getitem__, parts[0])), " ".join(map(names.__getitem__, parts[0]))))
             else:
-                out += [get(t) or self._entry(t) for t in self._split(part)]
+                a = [x for p in parts for x in ([str(self.special[p])] if isinstance(p, str) else map(ids.__getitem__, p))]
+                b = [x for p in parts for x in ([p] if isinstance(p, str) else map(names.__getitem__, p))]
+                out.append((" ".join(a), " ".join(b)))
         return out
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [list(map(int, ids.split(" "))) if ids else [] for ids, _ in self._joined(texts)]
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self._pieces(text) for i in p[0].split(" ")]
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the file names no decoder; ids outside the vocabulary are left out."""
         return " ".join([self.names[i] for i in ids if i in self.names])
 
+    def digests_all(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of tokens, SHA-256 of ids, SHA-256 of the decoded text) of each text."""
+        return [((ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) for ids, decoded in self._joined(texts)]
+
     def digests(self, text: str) -> tuple[int, str, str]:
-        pieces = self._pieces(text)
-        ids = " ".join([p[0] for p in pieces])
-        decoded = " ".join([p[1] for p in pieces])
-        return (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return self.digests_all([text])[0]
 
 
 _encoders = Cache()
@@ -199,7 +301,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="
     """(doc_id, ids array<int>) for every row; a null or empty text has no ids; repeated rows get a row each."""
     path = path or default_path()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_pass(read, lambda b: {"doc_id": b.column("doc_id"), "ids": [encoder(path).encode(t) for t in _texts(b)]}, "doc_id long, ids array<int>")
+    return arrow_pass(read, lambda b: {"doc_id": b.column("doc_id"), "ids": encoder(path).encode_all(_texts(b))}, "doc_id long, ids array<int>", PIECE)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col="doc_id", ids_col="ids") -> DataFrame:
@@ -214,12 +316,11 @@ def digests(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col=
     path = path or default_path()
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = encoder(path)
-        rows = [own.digests(t) for t in _texts(batch)]
+        rows = encoder(path).digests_all(_texts(batch))
         return {"doc_id": batch.column("doc_id")} | {k: [r[i] for r in rows] for i, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_pass(read, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_pass(read, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", PIECE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -521,6 +521,19 @@ def test_cuts_are_certain():
         assert own._merge_short(list(whole)) == own.word(word) == own._merge_long(list(whole))
 
 
+def test_words_of_a_piece_are_merged_together():
+    own, rng = bpe.Encoder(bpe.default_path()), random.Random(8)
+    for length in (1, 2, 3, 7, 48):
+        made = [[own.inner[b] for b in rng.choices(b"etaoinshr", k=length)] for _ in range(200)]
+        assert [[x for x in row if x >= 0] for row in own._merge_rows(np.array(made)).tolist()] == [own._merge_long(list(m)) for m in made]
+    pairs = list(own.merges)[::97] + [3 << 20 | 3]
+    got = own._pairs(np.array(pairs) >> 20, np.array(pairs) & 0xFFFFF).tolist()
+    assert got == [own.merges[p][0] << 20 | own.merges[p][1] if p in own.merges else bpe._NONE for p in pairs]
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randrange(1, 60))) for _ in range(40)) for _ in range(30)] + ["", "<|endoftext|>", "aé <|endoftext|>b"]
+    own.words.limit = 4000  # entries are dropped in the middle of a piece
+    assert own.encode_all(texts) == [bpe.encoder(bpe.default_path()).encode(t) for t in texts]
+
+
 # 9
 
 
