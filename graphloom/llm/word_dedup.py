@@ -21,16 +21,24 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sequence, arrow_pass, discard, doc_id_of, keyed, mix, rank_of, signed, stage, table, word_values
+from .common import Sequence, arrow_pass, discard, doc_id_of, keyed, mix, rank_of, signed, stage, table
 
 WINDOW = 50
 PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])
 ANCHOR = WINDOW - PERIOD + 1
 _PLACE = (1 << 32) - 1
+#: Bytes of texts whose words are hashed together.
+PIECE = 4 << 20
+#: Bytes of words that are hashed eight at a time; longer words are hashed one by one.
+LONG = 64
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _cover_places(n: int, anchor: int) -> np.ndarray:
@@ -41,6 +49,27 @@ def _cover_places(n: int, anchor: int) -> np.ndarray:
     return places[places <= last]
 
 
+def _values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit values of the words of all texts, one after another, and where each text's begin, with the end."""
+    joined = b" ".join(texts)
+    data = np.frombuffer(joined + bytes(8), np.uint8)
+    inside = np.zeros(len(joined) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[data[: len(joined)]]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray((len(joined) + 1,), "<u8", data, strides=(1,))
+    values = mix(eights[starts] & _MASKS[np.minimum(size, 8)] ^ size.astype(np.uint64) * _STEP)
+    for done in range(8, LONG, 8):
+        at = np.flatnonzero((size > done) & (size <= LONG))
+        if not len(at):
+            break
+        values[at] = mix(values[at] * _STEP ^ eights[starts[at] + done] & _MASKS[np.minimum(size[at] - done, 8)])
+    for i in np.flatnonzero(size > LONG).tolist():
+        values[i] = xxhash.xxh64_intdigest(joined[starts[i] : starts[i] + size[i]])
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return values, np.searchsorted(starts, begins)
+
+
 def _rows(batch: pa.RecordBatch, make: Callable) -> tuple[np.ndarray, ...]:
     """Concatenate the arrays of make(row) over rows; ord and loc (th << 32 | place) go with each."""
     parts = []
@@ -53,9 +82,10 @@ def _rows(batch: pa.RecordBatch, make: Callable) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, zip(*parts)))
 
 
-def _contexts(words: Sequence, at: np.ndarray, window: int) -> np.ndarray:
-    """Identifier of the words that windows around each anchor can reach, and of how far the text's ends cut them."""
-    low, high = np.maximum(at - PERIOD + 1, 0), np.minimum(at + window, words.n)
+def _contexts(words: Sequence, at: np.ndarray, window: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Identifier of the words that windows around each anchor can reach, and of how far the ends of its text, which are
+    at first and end, cut them."""
+    low, high = np.maximum(at - PERIOD + 1, first), np.minimum(at + window, end)
     return mix(words.hashes(low, high) ^ mix(((at - low) << 32 | (high - at)).astype(np.uint64)))
 
 
@@ -63,21 +93,20 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     anchor = window - PERIOD + 1
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts, contexts = batch.column("text"), []
-
-        def make(i: int):
-            words = texts[i].as_py().split()
-            if len(words) < window:
-                return None
-            at = _cover_places(len(words), anchor)
-            sequence = Sequence(word_values(words))
-            contexts.append(signed(_contexts(sequence, at, window)))
-            return sequence.hashes(at, at + anchor), at
-
-        key, ords, loc = _rows(batch, make)
-        return {"k": key, "c": np.concatenate(contexts) if contexts else [], "ord": ords, "loc": loc}
-
-    return arrow_pass(docs, run, "k long, c long, ord long, loc long")
+        values, offsets = _values(batch.column("text").to_pylist())
+        n = np.diff(offsets)
+        every = _cover_places(int(n.max()), anchor)
+        counts = np.where(n >= window, np.searchsorted(every, n - anchor, "right"), 0)
+        row = np.repeat(np.arange(len(n)), counts)
+        place = every[np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)]
+        at, words = place + offsets[row], Sequence(values)
+        ords, ths = (batch.column(c).to_numpy()[row] for c in ("ord", "th"))
+        return {
+            "k": signed(words.hashes(at, at + anchor)), "c": signed(_contexts(words, at, window, offsets[row], offsets[row + 1])),
+            "ord": ords, "loc": (ths.astype(np.int64) << 32) | place,
+        }
+
+    return arrow_pass(docs, run, "k long, c long, ord long, loc long", PIECE)
 
 
 def _near(places: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -100,13 +129,13 @@ def _of(batch: pa.RecordBatch, i: int, column: str = "locs") -> np.ndarray:
 
 def _windows(listed: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
-        texts, checks = batch.column("text"), []
+        every, offsets = _values(batch.column("text").to_pylist())
+        checks = []
 
         def make(i: int):
-            words = texts[i].as_py().split()
+            values = every[offsets[i] : offsets[i + 1]]
             # What an earlier document is known to have needs no window: the least document that has it shows its own.
-            at = np.setdiff1d(_near(_of(batch, i), len(words), window), _near(_of(batch, i, "whole"), len(words), window), assume_unique=True)
-            values = word_values(words)
+            at = np.setdiff1d(_near(_of(batch, i), len(values), window), _near(_of(batch, i, "whole"), len(values), window), assume_unique=True)
             if len(at):
                 checks.append(signed(Sequence(mix(values)).hashes(at, at + window)))
             return Sequence(values).hashes(at, at + window), at
@@ -114,7 +143,7 @@ def _windows(listed: DataFrame, window: int) -> DataFrame:
         key, ords, loc = _rows(batch, make)
         return {"w": key, "v": np.concatenate(checks) if checks else [], "ord": ords, "loc": loc}
 
-    return arrow_pass(listed, run, "w long, v long, ord long, loc long")
+    return arrow_pass(listed, run, "w long, v long, ord long, loc long", PIECE)
 
 
 #: SQL: the th that a loc carries.

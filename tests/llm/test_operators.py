@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -674,3 +675,23 @@ def test_slices_hash_alike_wherever_they_are():
     words = prose(1, 300).encode().split()
     a, b = Sequence(word_values(words)), Sequence(word_values(words[37:]))
     assert (a.windows(50)[37:] == b.windows(50)).all() and json.dumps(SCHEMA)
+
+
+def test_words_of_a_piece_are_hashed_together(monkeypatch):
+    rng = random.Random(10)
+    texts = [b"", b" \t\n", b"a", b"a\x00 a", b"x" * 64 + b" " + b"x" * 65, b"\x1ca \x85b\xc2\x85"] + [bytes(rng.choices(b"ab \t\x0b\x00", k=rng.randrange(300))) for _ in range(200)]
+    values, offsets = word_dedup._values(texts)
+    words = [w for t in texts for w in t.split()]
+    assert np.diff(offsets).tolist() == [len(t.split()) for t in texts] and len(values) == len(words)
+    assert len(set(zip(words, values.tolist()))) == len(set(words)) == len(set(values.tolist()))
+    pieces = []
+    monkeypatch.setattr(word_dedup, "arrow_pass", lambda df, run, schema, most=None: pieces.append((run, most)))
+    word_dedup._anchors(None, 50)
+    (run, most), = pieces
+    rows = [b" ".join(b"w%d" % rng.randrange(400) for _ in range(n)) for n in (0, 49, 50, 51, 300)]
+    batch = pa.RecordBatch.from_pydict({"ord": pa.array(range(10)), "th": pa.array(range(10)), "text": pa.array(rows + rows, pa.binary())})
+    found = run(batch)
+    key = {(o, p >> 32, p & 0xFFFFFFFF): (k, c) for k, c, o, p in zip(*(found[x].tolist() for x in ("k", "c", "ord", "loc")))}
+    assert most and {x[0] for x in key} == {2, 3, 4, 7, 8, 9} and all(o == th for o, th, _ in key)
+    assert all(key[o, o, p] == key[o - 5, o - 5, p] for o, _, p in key if o > 4)
+    assert sorted(p for o, _, p in key if o == 4) == word_dedup._cover_places(300, 20).tolist()
